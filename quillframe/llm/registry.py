@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillframe.llm import line_dedup
+from quillframe.llm import decontaminate, line_dedup, quality
 
 MODULES = {
     "op1_line_dedup": line_dedup,
+    "op2_quality_rules": quality,
+    "op8_decontaminate": decontaminate,
 }
 
 
