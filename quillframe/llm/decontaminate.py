@@ -61,7 +61,8 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     spread = docs.select(*_key(), words(F.col("text")).alias("w"))
     hits = None
     for size in sorted(facts["sizes"]) or [WINDOW]:
-        rows = spread.withColumn("hashes", _window_hashes(size)).select("doc_id", "text_hash", "w", F.posexplode("hashes").alias("at", "hash"))
+        rows = spread.withColumn("hashes", _window_hashes(size)).select("doc_id", "text_hash", "w", F.posexplode_outer("hashes").alias("at", "hash"))
+        # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
         found = rows.join(grams.filter(F.col("size") == size), "hash")
         found = found.select(
             "doc_id", "text_hash", "size", "hash", (F.col("at") + 1).alias("start"),

@@ -86,7 +86,8 @@ def buckets(w: Column) -> Column:
 def bucket_counts(docs: DataFrame) -> DataFrame:
     """(bucket, raw, target) over every document; docs: text, trusted boolean."""
     w = docs.select("trusted", words(F.col("text")).alias("w"))
-    rows = w.select("trusted", F.explode(buckets(F.col("w"))).alias("bucket"))
+    # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
+    rows = w.select("trusted", F.explode_outer(buckets(F.col("w"))).alias("bucket")).filter("bucket IS NOT NULL")
     return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("long")).alias("target"))
 
 
