@@ -1,7 +1,7 @@
 """Operator 2: quality rules.
 
-Method.  Words and pairs of neighbouring words are hashed to a fixed number of buckets.  Bucket counts of a trusted
-target and of the whole raw corpus give two smoothed multinomials; a document's score is the sum of the log ratios of
+Method.  The character 3-grams at both edges of every word are hashed to a fixed number of buckets.  Bucket counts of a
+trusted target and of the whole raw corpus give two smoothed multinomials; a document's score is the sum of the log ratios of
 its n-grams, divided by their number.  A document is kept if it passes the base rules and its score is at least a fixed
 threshold.  Everything runs as DataFrame functions: the model is one array of ``BUCKETS`` numbers, which reaches the
 rows as a scalar subquery.
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import table
 
-#: Buckets of the hashed n-grams; bounds the model (512 kB of numbers).
-BUCKETS = 65536
+#: Buckets of the hashed n-grams, a power of two; bounds the model (128 kB of numbers).
+BUCKETS = 16384
 #: Counts added to each bucket of both multinomials, in proportion to the raw corpus (see ``log_ratios``).
-SMOOTHING = 2.0
+SMOOTHING = 0.5
 #: Least score, in nats for each n-gram, of a document that is kept.
-THRESHOLD = -0.06
+THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Trusted ids are broadcast up to this number (about 64 MB); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
@@ -74,13 +74,16 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def buckets(w: Column) -> Column:
-    """Bucket numbers of all words and of all pairs of neighbouring words."""
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    pairs = F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(BUCKETS)).cast("int"),
-    )
-    return F.concat(single, pairs)
+    """Bucket numbers of the leading and of the trailing character 3-gram of every word.
+
+    Whole words are too rare to be judged by: in a small corpus a few copies of one clean document would make its words
+    look untrusted.  The 3-grams at a word's edges are shared by all documents of a language, and hold what sets junk
+    apart (marks tied to words, separators between them).
+    """
+    mask = F.lit(BUCKETS - 1)
+    head = F.transform(w, lambda x: F.xxhash64(F.substring(x, 1, 3)).bitwiseAND(mask).cast("int"))
+    tail = F.transform(w, lambda x: F.xxhash64(F.substring(x, -3, 3), F.lit(1)).bitwiseAND(mask).cast("int"))
+    return F.concat(head, tail)
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
