@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words and pad lines: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,3 +35,13 @@ def fold(id_column: Column, modulus: int) -> Column:
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns, in place of those of the same name."""
     return df.withColumns(columns)
+
+
+def struct(fields: str) -> T.StructType:
+    """A struct type from ``name type, …`` with types long, string, double, int, boolean, long[] and binary; unlike
+    Spark's own parser it needs no session, so it can stand in decorators."""
+    kinds = {
+        "long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+        "boolean": T.BooleanType(), "long[]": T.ArrayType(T.LongType()), "binary": T.BinaryType(),
+    }
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(","))])

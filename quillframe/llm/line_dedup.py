@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import BLANKS, small_batches, table
+from quillframe.llm.common import BLANKS, small_batches, struct, table
 from quillframe.sources.scratch import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -140,7 +140,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return shed.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
 
 
-@F.arrow_udf("text string, n_lines long, n_dropped long")
+@F.arrow_udf(struct("text string, n_lines long, n_dropped long"))
 def _strip(text: pa.Array, drop: pa.Array, min_chars: pa.Array) -> pa.Array:
     kept, lines_in, lost = [], [], []
     for t, d, least in zip(text.to_pylist(), drop.to_pylist(), min_chars.to_pylist(), strict=True):
