@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, line_dedup, quality, secrets
+from quillframe.llm import decontaminate, language, line_dedup, quality, secrets
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_quality_rules": quality,
     "op4_secrets": secrets,
     "op8_decontaminate": decontaminate,
+    "op9_language_id": language,
 }
 
 
