@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, language, line_dedup, quality, secrets
+from quillframe.llm import decontaminate, language, line_dedup, quality, secrets, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_quality_rules": quality,
     "op4_secrets": secrets,
+    "op5_tokens": tokens,
     "op8_decontaminate": decontaminate,
     "op9_language_id": language,
 }
