@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, language, line_dedup, quality, secrets, tokens
+from quillframe.llm import decontaminate, language, line_dedup, near_dup, quality, secrets, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_quality_rules": quality,
     "op4_secrets": secrets,
     "op5_tokens": tokens,
+    "op6_near_dup": near_dup,
     "op8_decontaminate": decontaminate,
     "op9_language_id": language,
 }
