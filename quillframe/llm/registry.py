@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, language, line_dedup, near_dup, quality, secrets, tokens
+from quillframe.llm import decontaminate, html, language, line_dedup, near_dup, quality, secrets, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
@@ -12,6 +12,7 @@ MODULES = {
     "op6_near_dup": near_dup,
     "op8_decontaminate": decontaminate,
     "op9_language_id": language,
+    "op10_html_text": html,
 }
 
 
