@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, html, language, line_dedup, near_dup, quality, secrets, tokens
+from quillframe.llm import decontaminate, html, language, line_dedup, near_dup, quality, secrets, tokens, toxicity
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_quality_rules": quality,
+    "op3_toxicity": toxicity,
     "op4_secrets": secrets,
     "op5_tokens": tokens,
     "op6_near_dup": near_dup,
