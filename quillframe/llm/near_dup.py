@@ -8,9 +8,13 @@ is followed only until it is later than all components of its document, so the c
 
 Signatures are cut into bands.  In each bucket of a band the documents are compared with a pivot, on the multisets
 themselves; pairs that reach ``SIMILARITY`` are links and classes are their connected components.  Buckets whose members
-aren't yet in one class are gone through again with 4, 32, 256, ... pivots, testing only pairs of different classes,
-until each has one class or all its pairs of classes were tested: no bucket is capped.  Exact copies (same words in the
-same order) are one document from the start.  At a similarity of 0.8 a pair meets in no band with odds of 5 in 10^8.
+aren't yet in one class are open.  Shingles that no other document of an open bucket has can't be shared, which bounds a
+document's similarity to any other from above, and parity sketches of the multisets bound each pair's: the bits in which
+two sketches differ are no more than the shingles in which the documents do.  What these exact bounds rule out is settled
+without a test.
+The others are gone through with 1, 8, 64, ... pivots, those with the least shingles of their own first, testing only
+pairs of different classes, until each bucket has one class or all its pairs of classes are settled: no bucket is
+capped.  Exact copies (same words in the same order) are one document from the start.  At a similarity of 0.8 a pair meets in no band with odds of 5 in 10^8.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from quillframe.sources.scratch import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 128, 32
+#: 64-bit words of a parity sketch.
+SKETCH = 12
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
 CACHE_WORDS = 500_000
 
@@ -185,6 +191,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for batch in batches:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        docs, values, weights = shingles([word_list(t) for t in batch.column("text").to_pylist()], hashes)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids[docs]), pa.array(weights)], ["shingle", "id", "w"])
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parities of the shingle counts that fall on each of 64 * SKETCH bits."""
+    hashes = Hashes()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        docs, values, weights = shingles([word_list(t) for t in texts], hashes)
+        at = docs * (64 * SKETCH) + (values >> np.uint64(33)).astype(np.int64) % (64 * SKETCH)
+        odd = np.bincount(at, weights % 2, len(texts) * 64 * SKETCH).astype(np.int64) % 2
+        packed = np.packbits(odd.astype(np.uint8).reshape(len(texts), -1), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed.tolist(), pa.list_(pa.int64()))], ["id", "sketch"])
+
+
+def _shareable(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, size, core, s0, s1, ...): shingles of each of the documents, those of them that another of the documents
+    has, and the parity sketch.
+
+    Documents whose core is too small for a link to any other are left out.
+    """
+    own = texts.join(ids, "id", "left_semi")
+    rows = own.mapInArrow(_shingle_rows, "shingle long, id long, w long")
+    rows = written(rows, "shingles")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
+    lone = lone.groupBy("id").agg(F.sum("w").alias("lone"))
+    sizes = rows.groupBy("id").agg(F.sum("w").alias("size"))
+    facts = sizes.join(lone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("core"))
+    facts = facts.filter(F.col("core") >= SIMILARITY * F.col("size") - 1e-6)
+    sketches = own.mapInArrow(_sketch, "id long, sketch array<long>").join(facts, "id")
+    return sketches.select("id", "size", "core", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+
+
 def _bands(reps: DataFrame, labels: DataFrame | None) -> DataFrame:
     labelled = reps.withColumn("label", F.col("id"))
     if labels is not None:
@@ -213,24 +257,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = _bands(reps, None).select("id", F.first("id").over(by_key).alias("pivot")).filter("id <> pivot")
     tested = written(first.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = written(_links(tested, texts), "links")
-    labels, pivots = components(links), 4
-    while True:
-        rows = _bands(reps, labels)
-        mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l <> h")
-        # Buckets that an earlier round went through with all their members are settled.
-        open_keys = written(mixed.filter(F.col("n") > (2 if pivots == 4 else pivots // 8 + 1)).select("key", "n"), "open")
-        if open_keys.isEmpty():
-            break
-        placed = rows.join(open_keys, "key").withColumn("rank", F.row_number().over(by_key))
-        placed = written(placed, "placed")
-        heads = placed.filter(F.col("rank") <= pivots).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        pairs = placed.join(heads, "key").filter("rank > ra AND label <> la").select("a", F.col("id").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(_links(pairs, texts), "links")
-        tested, links = tested.union(pairs), links.union(found)
-        if not found.isEmpty():
-            labels = components(links)
-        pivots *= 8
+    labels = components(links)
+    rows = _bands(reps, labels)
+    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
+    # A bucket of two was settled by the pivot.
+    open_keys = written(mixed.filter("l <> h AND n > 2").select("key"), "open")
+    if not open_keys.isEmpty():
+        placed = written(rows.join(open_keys, "key").select("key", "id"), "placed")
+        placed = written(placed.join(_shareable(texts, placed.select("id").distinct()), "id"), "placed")
+        pivots, done = 1, 0
+        central = Window.partitionBy("key").orderBy(F.col("size") - F.col("core"), "id")
+        while True:
+            now = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            mixed = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
+            still = mixed.filter((F.col("l") != F.col("h")) & (F.col("n") > done + 1)).select("key")
+            now = written(now.join(still, "key").withColumn("rank", F.row_number().over(central)), "ranked")
+            if now.isEmpty():
+                break
+            heads = now.filter((F.col("rank") <= pivots) & (F.col("rank") > done))
+            heads = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns))
+            both, total = F.least("core", "a_core"), F.col("size") + F.col("a_size")
+            apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"a_s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("a_s0"))))
+            reach = (both >= SIMILARITY * (total - both) - 1e-6) & (total - apart >= SIMILARITY * (total + apart) - 1e-6)
+            other = (F.col("rank") > F.col("a_rank")) & (F.col("label") != F.col("a_label"))
+            pairs = now.join(heads, (F.col("key") == F.col("a_key")) & other & reach)
+            pairs = pairs.select(F.col("a_id").alias("a"), F.col("id").alias("b")).distinct()
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = written(_links(pairs, texts), "links")
+            tested, links = tested.union(pairs), links.union(found)
+            if not found.isEmpty():
+                labels = components(links)
+            pivots, done = 8 * pivots, pivots
 
     class_of = worded.join(copies.select("hi", "lo", F.col("rep")), ["hi", "lo"]).select("id", "rep")
     named = labels.select(F.col("id").alias("rep"), "label")
