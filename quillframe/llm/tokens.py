@@ -92,9 +92,20 @@ class WordEncoder:
         return [b"".join([cache[w] for w in words]) + end for words in split]
 
 
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process.  This code is unpickled anew for each task, so the encoder is kept
+    on the tokenizer library's module, which stays."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_quillframe_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _tokenize(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = shared_encoder(path)
         names = ["doc_id", "ids", "counts"]
         total = np.zeros(2**16 if encoder.dtype == np.uint16 else encoder.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
