@@ -5,8 +5,7 @@ first.  Bins are ordered by what is left in them and carry two bitmaps, of the s
 that they hold.  A piece goes to the tightest bin that is compatible: the search begins at the first bin with enough
 room and steps to its successors until one has a free place for the piece's source and none of its cluster.
 
-Conflicts: a bin never holds two pieces of one duplicate cluster, unless they are of one document, and never more than
-``PER_SOURCE`` documents of one source, so that a hot source can't fill a bin alone while others remain.  Bins are
+Conflicts: a bin never holds two pieces of one duplicate cluster, and never more than ``PER_SOURCE`` pieces of one source, so that a hot source can't fill a bin alone while others remain.  Bins are
 packed in independent shards of about ``SHARD_PIECES`` pieces; a piece's shard is a hash of its document, so every shard
 sees a like mixture, hot sources and large clusters are spread, and no task holds more than its shard.
 """
