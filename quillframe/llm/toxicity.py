@@ -1,7 +1,7 @@
 """Operator 3: toxicity.
 
 Method.  A bidirectional gated recurrent network with attention pooling, in numpy.  Each word enters as a word vector
-beside the mean of its character 3- to 6-gram vectors; words and n-grams that few training documents hold have none, so
+beside the sum of its character 3- to 6-gram vectors over the root of their number; words and n-grams that few training documents hold have none, so
 that rare words can't be learned by heart.  A text is scored in windows of ``WINDOW`` words, each of which overlaps half
 of the next; its score comes from its most toxic windows (``TOP``), calibrated on documents kept from the training.
 
@@ -30,11 +30,12 @@ GRAMS, MIN_DOCS = (3, 4, 5, 6), 6
 #: A document's figures are the means of so many of its worst windows.
 TOP = (1, 2, 4)
 #: Labelled documents that the network is fitted on, about (they are chosen by a hash of their id).
-SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1600
-#: Passes over the windows in the two phases, windows in a step, and learning rate.
-EPOCHS, BATCH, RATE = (3, 4), 256, 0.05
+SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1200
+#: Passes over the windows in the two phases, windows in a step at most (fewer if a pass would have under 100 steps),
+#: and learning rate.
+EPOCHS, BATCH, RATE = (3, 3), 256, 0.05
 #: Of a training document at most so many windows are learned from; texts to be scored have no such bound.
-TRAIN_WINDOWS = 40
+TRAIN_WINDOWS = 24
 #: A toxic document's window is positive in the second phase if it looks worse than this share of clean windows.
 QUANTILE = 0.995
 CUT = 0.7
@@ -52,7 +53,7 @@ def word_list(text: str | None) -> list[str]:
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket by word, start of each word, buckets by place, weights by place), n-grams of a length in a row.
 
-    Words are marked at both ends; an n-gram that would leave its word has weight 0, the others of a word sum to 1.
+    Words are marked at both ends; an n-gram that would leave its word has weight 0, others have 1.
     """
     points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
@@ -67,8 +68,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         h ^= h >> np.uint32(15)
         if k + 1 in GRAMS:
             buckets.append((h * np.uint32(2246822519) >> np.uint32(15)).astype(np.int64))
-    weights = np.stack([left >= k for k in GRAMS]).astype(np.float32)
-    weights /= np.repeat(np.maximum(1, np.add.reduceat(weights.sum(axis=0), starts)), sizes)
+    weights = np.stack([left >= k for k in GRAMS])
     place = np.arange(n, dtype=np.uint32) - np.repeat(starts, sizes).astype(np.uint32)
     mixed = (points ^ (place * np.uint32(668265263))) * np.uint32(2654435761)
     mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(2246822519)
@@ -104,6 +104,10 @@ class Network:
         """One row of inputs for each word."""
         word, starts, buckets, weights = hashed(words)
         word, buckets = self.word_row[word], self.char_row[buckets]
+        known = (buckets > 0) & (weights > 0)
+        sizes = np.diff(np.append(starts, buckets.shape[1]))
+        share = 1 / np.sqrt(np.maximum(1, np.add.reduceat(known.sum(axis=0), starts)))
+        weights = known * np.repeat(share, sizes).astype(np.float32)
         char = sum(np.add.reduceat(self.p["char"][b] * w[:, None], starts) for b, w in zip(buckets, weights, strict=True))
         return np.concatenate([self.p["word"][word], char], axis=1), (word, starts, buckets, weights)
 
@@ -225,8 +229,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
 
     def epoch(at: np.ndarray, weight: np.ndarray) -> None:
         at = r.permutation(at)
-        for i in range(0, len(at), BATCH):
-            b = at[i : i + BATCH]
+        size = max(16, min(BATCH, len(at) // 100))
+        for i in range(0, len(at), size):
+            b = at[i : i + size]
             used, local = np.unique(windows[b], return_inverse=True)
             _, g = network.gradient([names[k] for k in used], local.reshape(-1, WINDOW), real[b], target[b], weight[b])
             optimizer.step(network.p, g)
