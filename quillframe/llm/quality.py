@@ -34,43 +34,56 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK_CLASS))
 
 
-def _repeated_words() -> Column:
-    """Words inside 3-word windows that stand in the text twice or more; reads the columns ``w`` and ``tri``."""
-    ranked = F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeated_words(tri: Column) -> Column:
+    """Words inside 3-word windows that stand in the text twice or more; tri has a hash for each window."""
+    ranked = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda s, x, j: F.get(s, j)["h"].eqNullSafe(x["h"])
-    marked = F.transform(
-        F.array(ranked),
-        lambda s: F.filter(
-            F.transform(s, lambda x, j: F.when(same(s, x, j - 1) | same(s, x, j + 1), x["i"])), lambda i: i.isNotNull()
-        ),
+    again = lambda s: F.filter(
+        F.transform(s, lambda x, j: F.when(same(s, x, j - 1) | same(s, x, j + 1), x["i"])), lambda i: i.isNotNull()
     )
-    starts = F.sort_array(F.get(marked, F.lit(0)))
+    starts = F.sort_array(_bound(ranked, again))
     step = lambda acc, i: F.struct(
         (acc["n"] + F.least(F.lit(3), i + 3 - acc["end"])).cast("long").alias("n"), (i + 3).alias("end")
     )
     covered = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step)["n"]
-    return F.when(F.size(F.array_distinct("tri")) == F.size("tri"), F.lit(0).cast("long")).otherwise(covered)
-
-
-def base_features(docs: DataFrame) -> DataFrame:
-    """Adds ``w`` (words) and the base rules' figures to (…, text)."""
-    out = docs.withColumn("w", words(F.col("text")))
-    # A window's identity is its 64-bit hash; within one document a false match has odds of 1 in 10^9 at 10^5 words.
-    tri = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
-    out = out.withColumn("tri", tri)
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
-    out = out.withColumn("lines", lines)
-    symbols = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^#*$%&|<>]+", "")
-    out = out.select(
-        *[c for c in out.columns if c not in ("tri", "lines")],
-        F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.char_length(symbols).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words().alias("n_repeat_words"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0).cast("long")).otherwise(covered)
+
+
+def _windows(w: Column) -> Column:
+    """The 64-bit hash of each 3-word window; in one document a false match has odds of 1 in 10^9 at 10^5 words."""
+    starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def _figures(text: Column, ratios: Column, threshold: float) -> Column:
+    """A struct of the base figures and the verdict."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
+    dup_lines = _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    n_symbols = F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
+
+    def of_words(w: Column) -> Column:
+        total = F.aggregate(buckets(w), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            n_symbols.cast("long").alias("n_symbols"),
+            dup_lines.cast("long").alias("n_dup_lines"),
+            _bound(_windows(w), _repeated_words).alias("n_repeat_words"),
+            F.when(F.size(w) > 0, total / (2 * F.size(w))).otherwise(0.0).alias("llr"),
+        )
+
+    def judged(f: Column) -> Column:
+        failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEATED_PERCENT * f["n_words"])
+        base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        return F.struct(*(f[c].alias(c) for c in base), failed.alias("base_failed"), f["llr"].alias("llr"), (~failed & (f["llr"] >= threshold)).alias("kept"))
+
+    return _bound(_bound(words(text), of_words), judged)
 
 
 def buckets(w: Column) -> Column:
@@ -138,12 +151,9 @@ def score_quality(docs: DataFrame, corpus: DataFrame, trusted_ids: DataFrame, th
     ratios = log_ratios(bucket_counts(marked)).scalar()
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     names = [c for c in docs.columns if c not in added]
-    packed = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    out = base_features(packed).withColumn("b", buckets(F.col("w"))).withColumn("ratios", ratios)
-    total = F.aggregate("b", F.lit(0.0), lambda acc, b: acc + F.get("ratios", b))
-    out = out.withColumn("llr", F.when(F.size("b") > 0, total / F.size("b")).otherwise(0.0))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return out.select(*(F.col(f"row.`{n}`").alias(n) for n in names), *added)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("text")).withColumn("ratios", ratios)
+    out = rows.select("row", _figures(F.col("text"), F.col("ratios"), threshold).alias("new"))
+    return out.select(*(F.col(f"row.`{n}`").alias(n) for n in names), *(F.col(f"new.{n}") for n in added))
 
 
 def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
