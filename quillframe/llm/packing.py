@@ -6,7 +6,7 @@ that they hold.  A piece goes to the tightest bin that is compatible: the search
 room and steps to its successors until one has a free place for the piece's source and none of its cluster.
 
 Conflicts: a bin never holds two pieces of one duplicate cluster, and never more than ``PER_SOURCE`` pieces of one source, so that a hot source can't fill a bin alone while others remain.  Bins are
-packed in independent shards of about ``SHARD_PIECES`` pieces; a piece's shard is a hash of its document, so every shard
+packed in independent shards, one for every ``SHARD_PIECES`` documents; a piece's shard is a hash of its document, so every shard
 sees a like mixture, hot sources and large clusters are spread, and no task holds more than its shard.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import small_batches, table
+from quillframe.llm.quality import words
 
 #: Tokens of a bin; a document's tokens are its words and one end mark.
 CAPACITY = 2048
@@ -75,9 +76,10 @@ def pack(pieces: pd.DataFrame, capacity: int = CAPACITY, per_source: int = PER_S
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(id, source, cluster, tokens): the cluster is the hash of the text's words, lower-cased."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words.alias("w"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        words(F.lower("text")).alias("w"),
+    )
     return rows.select("id", "source", F.xxhash64("w").alias("cluster"), (F.size("w") + 1).cast("long").alias("tokens"))
 
 
@@ -98,10 +100,10 @@ def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity:
         named = clusters.select(F.col("doc_id").alias("id"), F.col("cluster").alias("named")).dropDuplicates(["id"])
         rows = rows.join(named, "id", "left").withColumn("cluster", F.coalesce("named", "cluster")).drop("named")
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long"))
-    pieces = rows.select("id", "source", "cluster", "tokens", F.posexplode(starts).alias("piece", "start"))
+    pieces = rows.select("id", "source", "cluster", "tokens", F.posexplode_outer(starts).alias("piece", "start"))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("start")))
-    n = pieces.filter(F.col("size") < capacity).count()
-    shards = max(1, -(-n // SHARD_PIECES))
+    # Each document has at most one piece that isn't full; full ones take a bin each without a search.
+    shards = max(1, -(-docs.count() // SHARD_PIECES))
     pieces = pieces.select(
         F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(shards)).cast("int").alias("shard"),
         "id", "piece", "start", "size", "cluster",
