@@ -27,4 +27,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows written as Parquet and read again: lineage ends there and lost executors lose nothing."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._quillframe_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillframe_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
