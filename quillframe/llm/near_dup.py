@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillframe.llm.common import small_batches, struct, table
-from quillframe.sources.scratch import written
+from quillframe.sources.scratch import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 128, 32
@@ -180,14 +180,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    previous = labels
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(seen.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
         stepped = spread.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
         stepped = written(stepped, "labels")
-        labels = stepped.select("id", F.col("new").alias("label"))
+        discard(previous)
+        labels, previous = stepped.select("id", F.col("new").alias("label")), stepped
         if stepped.filter("label <> new").isEmpty():
+            discard(both)
             return labels
 
 
@@ -211,13 +214,12 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed.tolist(), pa.list_(pa.int64()))], ["id", "sketch"])
 
 
-def _shareable(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, size, core, s0, s1, ...): shingles of each of the documents, those of them that another of the documents
-    has, and the parity sketch.
+def _shareable(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table (id, size, core, s0, s1, ...): shingles of each of the documents, those of them that another of the documents
+    has, and the parity sketch; and the table of shingles that it is read from.
 
     Documents whose core is too small for a link to any other are left out.
     """
-    own = texts.join(ids, "id", "left_semi")
     rows = own.mapInArrow(_shingle_rows, "shingle long, id long, w long")
     rows = written(rows, "shingles")
     lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
@@ -226,7 +228,7 @@ def _shareable(texts: DataFrame, ids: DataFrame) -> DataFrame:
     facts = sizes.join(lone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("core"))
     facts = facts.filter(F.col("core") >= SIMILARITY * F.col("size") - 1e-6)
     sketches = own.mapInArrow(_sketch, "id long, sketch array<long>").join(facts, "id")
-    return sketches.select("id", "size", "core", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+    return sketches.select("id", "size", "core", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH))), rows
 
 
 def _bands(reps: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -263,15 +265,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # A bucket of two was settled by the pivot.
     open_keys = written(mixed.filter("l <> h AND n > 2").select("key"), "open")
     if not open_keys.isEmpty():
-        placed = written(rows.join(open_keys, "key").select("key", "id"), "placed")
-        placed = written(placed.join(_shareable(texts, placed.select("id").distinct()), "id"), "placed")
+        found_in = written(rows.join(open_keys, "key").select("key", "id"), "placed")
+        # The rounds read these texts only, not the whole table again.
+        own = written(texts.join(found_in.select("id").distinct(), "id", "left_semi"), "texts")
+        facts, shingle_rows = _shareable(own)
+        placed = written(found_in.join(facts, "id"), "placed")
+        discard(found_in, shingle_rows)
         pivots, done = 1, 0
-        central = Window.partitionBy("key").orderBy(F.col("size") - F.col("core"), "id")
+        in_key = Window.partitionBy("key")
+        central = in_key.orderBy(F.col("size") - F.col("core"), "id")
         while True:
             now = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            mixed = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
-            still = mixed.filter((F.col("l") != F.col("h")) & (F.col("n") > done + 1)).select("key")
-            now = written(now.join(still, "key").withColumn("rank", F.row_number().over(central)), "ranked")
+            now = now.withColumns({"l": F.min("label").over(in_key), "h": F.max("label").over(in_key), "n": F.count("*").over(in_key)})
+            now = now.withColumn("rank", F.row_number().over(central))
+            now = written(now.filter((F.col("l") != F.col("h")) & (F.col("n") > done + 1)).drop("l", "h", "n"), "ranked")
             if now.isEmpty():
                 break
             heads = now.filter((F.col("rank") <= pivots) & (F.col("rank") > done))
@@ -283,7 +290,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             pairs = now.join(heads, (F.col("key") == F.col("a_key")) & other & reach)
             pairs = pairs.select(F.col("a_id").alias("a"), F.col("id").alias("b")).distinct()
             pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = written(_links(pairs, texts), "links")
+            discard(now)
+            found = written(_links(pairs, own), "links")
             tested, links = tested.union(pairs), links.union(found)
             if not found.isEmpty():
                 labels = components(links)
