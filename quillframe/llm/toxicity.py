@@ -5,7 +5,8 @@ beside the sum of its character 3- to 6-gram vectors over the root of their numb
 that rare words can't be learned by heart.  A text is scored in windows of ``WINDOW`` words, each of which overlaps half
 of the next; its score comes from its most toxic windows (``TOP``), calibrated on documents kept from the training.
 
-Training is on a bounded sample of labelled documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``).  Labels hold for documents,
+Training is on a bounded sample of labelled documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``), on all windows of each, as in
+scoring: the worst of a few windows would calibrate the worst of many wrongly.  Labels hold for documents,
 so training goes in two phases: first each window has its document's label; then only the windows of toxic documents
 that the first phase finds suspicious are positive, and all windows of clean ones negative.
 """
@@ -34,8 +35,6 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1200
 #: Passes over the windows in the two phases, windows in a step at most (fewer if a pass would have under 100 steps),
 #: and learning rate.
 EPOCHS, BATCH, RATE = (3, 3), 256, 0.05
-#: Of a training document at most so many windows are learned from; texts to be scored have no such bound.
-TRAIN_WINDOWS = 24
 #: A toxic document's window is positive in the second phase if it looks worse than this share of clean windows.
 QUANTILE = 0.995
 CUT = 0.7
@@ -219,9 +218,6 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     for d, (ids, y) in enumerate(zip(docs, labels, strict=True)):
         if len(ids):
             windows, real = cut(ids)
-            if len(windows) > TRAIN_WINDOWS:
-                some = np.sort(r.permutation(len(windows))[:TRAIN_WINDOWS])
-                windows, real = windows[some], real[some]
             parts.append((windows, real, np.full(len(windows), d), np.full(len(windows), y)))
     windows, real, owner, target = (np.concatenate(x) for x in zip(*parts, strict=True))
     train = np.array([d % 5 > 0 for d in range(len(docs))])[owner]

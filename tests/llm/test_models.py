@@ -72,6 +72,19 @@ def test_toxicity(spark, odd):
     assert windows[-1] == 68 and {i for s in windows for i in range(s, s + 32)} == set(range(100))
 
 
+def test_toxicity_learns_from_whole_texts(monkeypatch):
+    texts, labels = toxic_texts(20, 3)
+    texts = [" ".join((t.split() * 60)[:1200]) for t in texts]
+    seen, figures, gradient, calibrate = [], [], toxicity.Network.gradient, toxicity._calibrate
+    monkeypatch.setattr(toxicity.Network, "gradient", lambda n, *a: seen.append(len(a[1])) or gradient(n, *a))
+    monkeypatch.setattr(toxicity, "_calibrate", lambda f, y: figures.append(f) or calibrate(f, y))
+    network = toxicity.fit(texts, labels)
+    assert sum(seen) >= toxicity.EPOCHS[0] * 16 * len(toxicity.window_starts(1200))
+    w = network.calibration
+    expected = 1 / (1 + np.exp(-(figures[0] @ w[:-1] + w[-1])))
+    assert np.allclose(toxicity.Scorer(network).scores(texts[::5]), expected, atol=1e-4)
+
+
 # --- Operator 9.
 
 
