@@ -30,7 +30,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 10, 8
 GRAMS, MIN_DOCS = (3, 4, 5, 6), 6
 #: A document's figures are the means of so many of its worst windows.
 TOP = (1, 2, 4)
-#: Labelled documents that the network is fitted on, about (they are chosen by a hash of their id).
+#: Labelled documents that the network is fitted on at most (they are chosen by a hash of their id).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1200
 #: Passes over the windows in the two phases, windows in a step at most (fewer if a pass would have under 100 steps),
 #: and learning rate.
@@ -356,15 +356,24 @@ class Scorer:
         return out
 
 
+def sampled(labelled: DataFrame) -> DataFrame:
+    """Of the rows (doc_id, toxic and others) of each label, the ``SAMPLE_TOXIC`` or ``SAMPLE_CLEAN`` with the least hashes of their ids."""
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+
+    def least(label: int, n: int) -> DataFrame:
+        # Twice as many as wanted are expected to be sorted, however large the table is.
+        few = labelled.filter((F.col("toxic") == label) & (ticket < 2 * n / max(1, sizes.get(label, 0))))
+        return few.orderBy(ticket, *labelled.columns).limit(n)
+
+    return least(1, SAMPLE_TOXIC).union(least(0, SAMPLE_CLEAN))
+
+
 def train(labelled: DataFrame) -> Network | None:
     """A network for (doc_id, text, toxic), fitted on a bounded sample; None unless both labels are there."""
-    labelled = labelled.filter(F.col("toxic").isin(0, 1))
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    rows = sampled(labelled).collect()
+    if len({r["toxic"] for r in rows}) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_TOXIC / sizes[1])).otherwise(min(1.0, SAMPLE_CLEAN / sizes[0]))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share)
-    rows = sample.limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -395,9 +404,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 3) == 1
     labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull()).filter(~held_out).select("doc_id", "toxic")
     # Which labels to learn from is settled on ids alone, so that few texts travel.
-    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    wanted = sum(F.when(F.col("toxic") == k, F.lit(2 * n / max(1, sizes.get(k, 0)))).otherwise(0.0) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < wanted).limit(4 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
+    chosen = sampled(labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
     network = train(docs.join(F.broadcast(chosen), "doc_id"))
     out = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), network)
     return out.select("doc_id", "held_out", "score", "predicted")

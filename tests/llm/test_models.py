@@ -85,6 +85,18 @@ def test_toxicity_learns_from_whole_texts(monkeypatch):
     assert np.allclose(toxicity.Scorer(network).scores(texts[::5]), expected, atol=1e-4)
 
 
+def test_toxicity_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 40)
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: got.append((texts, labels)))
+    for parts in (1, 7):
+        spark.range(3000).selectExpr("id AS doc_id", "'text ' || id AS text").repartition(parts).write.parquet(f"{tmp_path}/{parts}/documents.parquet")
+        spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS int) AS toxic").repartition(parts).write.parquet(f"{tmp_path}/{parts}/labels.parquet")
+        toxicity.query(spark, f"{tmp_path}/{parts}")
+    assert got[0] == got[1] and sum(got[0][1]) == 20 and len(got[0][1]) == 60
+
+
 # --- Operator 9.
 
 
