@@ -14,17 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import fold, small_batches, struct, table
 
 FEATURES = 2**16
 LONGEST = 3
-#: Documents of each language that the classifier is fitted on, about (they are chosen by a hash of their id).
+#: Documents of each language that the classifier is fitted on at most (they are chosen by a hash of their id).
 SAMPLE_PER_LANGUAGE = 600
-#: Most documents in the sample, and most languages that are learned, by number of documents.
-MAX_SAMPLE, MAX_LANGUAGES = 20_000, 200
+#: Most documents in the sample, shared out evenly among the languages; each language has one at least.
+MAX_SAMPLE = 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.002, 0.0005
 SCALE = 30.0
 #: Characters that are looked at in one piece; longer texts are cut into pieces that overlap by an n-gram.
@@ -191,7 +191,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Model | None:
     """A model of docs (doc_id, text, lang), or None if they have no language or no text.  Null texts are left out."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = docs.groupBy("lang").count().collect()
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
@@ -201,9 +201,13 @@ def train(docs: DataFrame) -> Model | None:
         df[r["feature"]] = r["n"]
     idf = np.where(df > 0, np.log((1 + df[0]) / (1 + df)) + 1, 0.0)
     idf[0] = 0
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))) for r in sizes))
-    ticket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    sample = docs.filter(ticket < share).select("doc_id", "text", "lang").limit(MAX_SAMPLE).collect()
+    each = max(1, min(SAMPLE_PER_LANGUAGE, MAX_SAMPLE // len(sizes)))
+    counts = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in sizes], "lang string, n long"))
+    # Somewhat more than twice as many as wanted are expected to be ranked, however large a language is.
+    few = docs.withColumn("ticket", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))).join(counts, "lang")
+    few = few.filter(F.col("ticket") * F.col("n") < 1e9 * (2 * each + 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("ticket", "doc_id", "text"))
+    sample = few.withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], languages, idf)
 

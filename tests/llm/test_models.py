@@ -118,6 +118,17 @@ def test_language(spark, odd):
     assert language.train(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
 
 
+def test_language_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_SAMPLE", 500)
+    got = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels, languages, idf: got.append((texts, labels, languages)))
+    rows = [(i, f"text {i}", f"l{i % 250:03}") for i in range(2500)]
+    for parts in (1, 5):
+        language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").orderBy("lang").repartition(parts))
+    assert got[0] == got[1] and len(got[0][2]) == 250
+    assert all(got[0][1].count(k) == 2 for k in got[0][2])
+
+
 # --- Operator 10.
 
 
