@@ -4,38 +4,44 @@ Method.  A document is the multiset of its 5-word shingles.  BagMinHash gives it
 every shingle has, for each dyadic interval of its weight (0-1, 1-2, 2-4, ...), a Poisson process seeded by the shingle
 and the interval; points fall on random components, count only below the shingle's weight, and each component keeps the
 earliest.  Two signatures agree in a component with a probability equal to the weighted Jaccard similarity.  A process
-is followed only until it is later than all components of its document, so the cost is near one point a shingle.
-
-Signatures are cut into bands.  In each bucket of a band the documents are compared with a pivot, on the multisets
-themselves; pairs that reach ``SIMILARITY`` are links and classes are their connected components.  Buckets whose members
-aren't yet in one class are open.  Shingles that no other document of an open bucket has can't be shared, which bounds a
-document's similarity to any other from above, and parity sketches of the multisets bound each pair's: the bits in which
-two sketches differ are no more than the shingles in which the documents do.  What these exact bounds rule out is settled
-without a test.
-The others are gone through with 1, 8, 64, ... pivots, those with the least shingles of their own first, testing only
-pairs of different classes, until each bucket has one class or all its pairs of classes are settled: no bucket is
-capped.  Exact copies (same words in the same order) are one document from the start.  At a similarity of 0.8 a pair meets in no band with odds of 5 in 10^8.
+is followed only until it is later than all components of its document.
+
+Signatures are cut into ``BANDS`` bands of ``ROWS``; at a similarity of 0.8 a pair meets in no band with odds of 3 in a
+million.  In each bucket of a band the documents are compared with a pivot, on the multisets themselves; pairs that
+reach ``SIMILARITY`` are links and classes are their connected components.  Buckets whose members aren't yet in one
+class are open.  There the documents outside the bucket's largest class become pivots, 8, 64, 512, ... of them at a
+time, for all members of other classes, until each bucket has one class or all its pairs of classes are settled: no
+bucket is capped.  Pairs are ruled out beforehand by exact bounds: the sizes of the multisets, and parity sketches (the
+bits in which two sketches differ are no more than the shingles in which the documents do).
+
+Texts with the same words in the same order are one node from the start, whatever their ids; rows that share an id are
+put in one class at the end.  Only the texts of nodes in pairs are read again.  Hot buckets, pivots, classes and groups
+of copies are dealt over tasks (``Spread``, ``BLOCK``).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillframe.llm.common import small_batches, struct, table
+from quillframe.llm.common import Spread, free_name, small_batches, struct, table
 from quillframe.sources.scratch import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-COMPONENTS, BANDS = 128, 32
+COMPONENTS, BANDS, ROWS = 256, 42, 6
 #: 64-bit words of a parity sketch.
 SKETCH = 12
+#: Members of a bucket that are compared with its pivots in one task.
+BLOCK = 4096
+#: Nodes whose texts are picked by a broadcast of their ids (8 bytes each); beyond it by a shuffled join.
+MAX_BROADCAST = 3_000_000
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
 CACHE_WORDS = 500_000
 
@@ -131,185 +137,271 @@ def multiset(text: str | None) -> Counter:
     return Counter(tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))) if w else Counter()
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """n x BANDS hashes of the bands."""
+    s = signature[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(s), 1))
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
+    return key.view(np.int64)
+
+
+def sketches(docs: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """n x SKETCH words: the parities of the shingle counts that fall on each of 64 * SKETCH bits."""
+    bits = 64 * SKETCH
+    at = docs * bits + (values >> np.uint64(33)).astype(np.int64) % bits
+    odd = np.bincount(at, weights % 2, n * bits).astype(np.int64) % 2
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def _lists(flat: np.ndarray, n: int) -> pa.ListArray:
+    """An array of n lists of the same length."""
+    each = flat.size // max(1, n)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * each), pa.array(flat.ravel()))
+
+
+def _digests(words: list[list[bytes]]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), dtype=">i8").astype(np.int64)
+    return pa.array(both[::2]), pa.array(both[1::2])
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
     for batch in batches:
         words = [word_list(t) for t in batch.column("text").to_pylist()]
-        s = signatures(*shingles(words, hashes), len(words))
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), dtype=">i8").astype(np.int64)
-        columns = [batch.column("id"), pa.array(digests[::2]), pa.array(digests[1::2]), pa.array([len(w) > 0 for w in words])]
-        columns.append(pa.array([row.tobytes() for row in s], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, ["id", "hi", "lo", "worded", "sig"])
+        n, sets = len(words), shingles(words, hashes)
+        sizes = np.bincount(sets[0], sets[2], n).astype(np.int64)
+        columns = [batch.column("id"), *_digests(words), pa.array(sizes), _lists(band_keys(signatures(*sets, n)), n), _lists(sketches(*sets, n), n)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "hi", "lo", "size", "keys", "sketch"])
 
 
-def _band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, label): a row for each band."""
-    rows = COMPONENTS // BANDS
+def _list_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles in order, with their counts, as packed numbers."""
+    hashes = Hashes()
     for batch in batches:
-        s = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, rows).astype(np.uint64)
-        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(s), 1))
-        for r in range(rows):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
-        ids, labels = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "label"))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids), pa.array(labels)], ["key", "id", "label"])
+        words = [word_list(t) for t in batch.column("text").to_pylist()]
+        docs, values, weights = shingles(words, hashes)
+        ends = np.searchsorted(docs, np.arange(len(words) + 1))
+        parts = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (values, weights.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*_digests(words), *parts], ["hi", "lo", "values", "weights"])
 
 
-@F.arrow_udf(struct("close boolean"))
-def _close(a: pa.Array, text_a: pa.Array, text_b: pa.Array) -> pa.Array:
-    out, last, left = [], None, Counter()
-    for i, (x, y) in zip(a.to_pylist(), zip(text_a.to_pylist(), text_b.to_pylist(), strict=True), strict=True):
-        if i != last:
-            last, left = i, multiset(x)
-        out.append(similarity(left, multiset(y)) >= SIMILARITY)
-    return pa.StructArray.from_arrays([pa.array(out, pa.bool_())], ["close"])
+def packed_similarity(values_a: bytes, weights_a: bytes, values_b: bytes, weights_b: bytes) -> float:
+    """Weighted Jaccard similarity of two multisets as ``_list_shingles`` packs them."""
+    a, b = np.frombuffer(values_a, np.uint64), np.frombuffer(values_b, np.uint64)
+    m, n = np.frombuffer(weights_a, np.int32), np.frombuffer(weights_b, np.int32)
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int(np.where(a[at] == b, np.minimum(m[at], n), 0).sum())
+    return both / max(1, int(m.sum()) + int(n.sum()) - both)
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough.  A pivot with many partners is split by the skewed join."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a")
-    return rows.select("a", "b", _close("a", "text_a", "text_b")["close"].alias("close")).filter("close").select("a", "b")
+@F.arrow_udf(struct("close boolean"))
+def _close(values_a: pa.Array, weights_a: pa.Array, values_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (values_a, weights_a, values_b, weights_b)), strict=True)
+    return pa.StructArray.from_arrays([pa.array([packed_similarity(*r) >= SIMILARITY for r in rows], pa.bool_())], ["close"])
+
+
+def _reach() -> Column:
+    """Whether the exact bounds leave it open that the sketched documents a and b are similar enough."""
+    low, high, total = F.least("size", "a_size"), F.greatest("size", "a_size"), F.col("size") + F.col("a_size")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"a_s{i}"))) for i in range(SKETCH)))
+    return (low >= SIMILARITY * high - 1e-6) & (total - apart >= SIMILARITY * (total + apart) - 1e-6)
+
+
+class Search:
+    """The tables of one search.  nodes: (node, rep, n, hi, lo, size, keys, sketch), one row for each different text."""
+
+    def __init__(self, nodes: DataFrame, plain: DataFrame, repeats: bool):
+        self.nodes, self.plain, self.repeats = nodes, plain, repeats
+        facts = nodes.select("node", "size", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)))
+        self.facts, self.fact_columns = facts, facts.columns[1:]
+        self.links: list[DataFrame] = []
+        self.tested: list[DataFrame] = []
+
+    def ruled(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bounds don't rule out; a may be hot."""
+        of_a = self.facts.select(*(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in self.facts.columns))
+        rows = pairs.join(self.facts.withColumnRenamed("node", "b"), "b")
+        return Spread(pairs, ["a"]).join(rows, of_a).filter(_reach()).select("a", "b")
+
+    def test(self, pairs: DataFrame) -> bool:
+        """Tests the written pairs (a, b) on the texts and keeps the links; whether there are any."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        chosen = written(self.nodes.select("node", "rep", "hi", "lo").join(wanted, "node", "left_semi"), "chosen")
+        ids = chosen.select(F.col("rep").alias("id")).distinct()
+        if ids.count() <= MAX_BROADCAST:
+            ids = F.broadcast(ids)
+        packed = self.plain.join(ids, "id", "left_semi").select("text").mapInArrow(_list_shingles, "hi long, lo long, values binary, weights binary")
+        packed = packed.join(chosen.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "values", "weights")
+        packed = written(packed.dropDuplicates(["node"]) if self.repeats else packed, "shingles")
+        of = lambda x: packed.select(F.col("node").alias(x), F.col("values").alias(f"values_{x}"), F.col("weights").alias(f"weights_{x}"))
+        rows = Spread(pairs, ["a"]).join(pairs.join(of("b"), "b"), of("a"))
+        close = rows.select("a", "b", _close("values_a", "weights_a", "values_b", "weights_b")["close"].alias("close"))
+        found = written(close.filter("close").select("a", "b"), "links")
+        discard(chosen, packed)
+        self.tested.append(pairs)
+        if found.isEmpty():
+            discard(found)
+            return False
+        self.links.append(found)
+        return True
+
+    def labels(self) -> DataFrame:
+        return components(reduce(DataFrame.union, self.links))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of the connected component, for ids in edges (a, b).
 
     Labels spread along edges and then jump to their own label's label, so that chains shrink by halves; each round is
-    a written table.
+    a written table.  Ids with very many edges and labels of very many ids are dealt over tasks.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    along = Spread(both, ["b"])
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    previous = labels
     while True:
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(seen.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("new"))
+        seen = along.join(both, labels.withColumnRenamed("id", "b")).groupBy("a").agg(F.min("label").alias("near"))
+        near = written(labels.join(seen.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("new")), "near")
         jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        stepped = spread.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
+        stepped = Spread(near, ["new"]).join(near, jump).select("id", F.least("new", "far").alias("label"), (F.col("label") != F.least("new", "far")).alias("moved"))
         stepped = written(stepped, "labels")
-        discard(previous)
-        labels, previous = stepped.select("id", F.col("new").alias("label")), stepped
-        if stepped.filter("label <> new").isEmpty():
+        discard(labels, near)
+        labels = stepped
+        if stepped.filter("moved").isEmpty():
             discard(both)
             return labels
 
 
-def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Hashes()
-    for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        docs, values, weights = shingles([word_list(t) for t in batch.column("text").to_pylist()], hashes)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids[docs]), pa.array(weights)], ["shingle", "id", "w"])
-
-
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parities of the shingle counts that fall on each of 64 * SKETCH bits."""
-    hashes = Hashes()
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        docs, values, weights = shingles([word_list(t) for t in texts], hashes)
-        at = docs * (64 * SKETCH) + (values >> np.uint64(33)).astype(np.int64) % (64 * SKETCH)
-        odd = np.bincount(at, weights % 2, len(texts) * 64 * SKETCH).astype(np.int64) % 2
-        packed = np.packbits(odd.astype(np.uint8).reshape(len(texts), -1), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed.tolist(), pa.list_(pa.int64()))], ["id", "sketch"])
-
-
-def _shareable(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table (id, size, core, s0, s1, ...): shingles of each of the documents, those of them that another of the documents
-    has, and the parity sketch; and the table of shingles that it is read from.
-
-    Documents whose core is too small for a link to any other are left out.
-    """
-    rows = own.mapInArrow(_shingle_rows, "shingle long, id long, w long")
-    rows = written(rows, "shingles")
-    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("w").alias("w")).filter("n = 1")
-    lone = lone.groupBy("id").agg(F.sum("w").alias("lone"))
-    sizes = rows.groupBy("id").agg(F.sum("w").alias("size"))
-    facts = sizes.join(lone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("core"))
-    facts = facts.filter(F.col("core") >= SIMILARITY * F.col("size") - 1e-6)
-    sketches = own.mapInArrow(_sketch, "id long, sketch array<long>").join(facts, "id")
-    return sketches.select("id", "size", "core", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH))), rows
-
-
-def _bands(reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    labelled = reps.withColumn("label", F.col("id"))
-    if labels is not None:
-        labelled = reps.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return labelled.select("id", "label", "sig").mapInArrow(_band, "key long, id long, label long")
+def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Goes through the open buckets; members: (key, node, pivot, n).  Returns the labels at the end."""
+    label = F.coalesce("label", "node")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", label)
+
+    def open_buckets(rows: DataFrame) -> DataFrame:
+        """(key, part, major, minor): the largest class of each open bucket and the members outside it."""
+        sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        tops = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes"), F.max("n").alias("n"))
+        tops = tops.filter("classes > 1").select("key", "n", F.col("top.label").alias("major"), (F.col("n") - F.col("top.c")).alias("minor"))
+        return tops.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).drop("n")
+
+    # A bucket of two was settled by the pivot.  Members of a large bucket are dealt to parts.
+    part = F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / BLOCK) + 1)
+    rows = members.filter("n > 2").select("key", "node", "n", (F.col("node") == F.col("pivot")).alias("done"), part.alias("part"))
+    rows = written(rows.join(open_buckets(labelled(rows)).select("key", "part"), ["key", "part"]), "open")
+    wide, turn = 8, F.pmod(F.xxhash64("node", "key"), F.lit(2**30)) / 2**30
+    while not rows.isEmpty():
+        named = labelled(rows)
+        now = named.join(open_buckets(named), ["key", "part"])
+        head = ~F.col("done") & (F.col("label") != F.col("major")) & (turn * F.col("minor") < wide)
+        now = written(now.withColumns({"head": head, "left": ~F.col("done") & (F.col("label") != F.col("major"))}), "turn")
+        discard(rows)
+        if now.filter("left").isEmpty():
+            discard(now)
+            break
+        heads = now.filter("head").select("key", "n", F.col("node").alias("a"), F.col("label").alias("a_label"))
+        heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).drop("n")
+        of_a = search.facts.select(*(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in search.facts.columns))
+        meet = now.select("key", "part", "node", "label").join(search.facts, "node").join(heads.join(of_a, "a"), ["key", "part"])
+        meet = meet.filter((F.col("label") != F.col("a_label")) & _reach())
+        pairs = meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = written(pairs.join(reduce(DataFrame.union, search.tested), ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty() and search.test(pairs):
+            discard(labels)
+            labels = search.labels()
+        rows = written(now.select("key", "node", "n", (F.col("done") | F.col("head")).alias("done"), "part"), "open")
+        discard(now)
+        wide *= 8
+    return labels
+
+
+def _classes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hi, lo, class_id) of the texts that have copies or links; the others are classes of their own."""
+    linked = written(nodes.select("node", "rep", "hi", "lo").join(labels.withColumnRenamed("id", "node"), "node").drop("moved"), "linked")
+    least = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
+    far = Spread(linked, ["label"]).join(linked, least).select("hi", "lo", "class_id")
+    copies = nodes.filter("n > 1").join(linked.select("node"), "node", "left_anti").select("hi", "lo", F.col("rep").alias("class_id"))
+    return written(far.union(copies), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, class_id): one row for each row of docs; class_id is the least id of the class.
 
-    Null and empty texts, and texts without a word, are a class each.  Rows without an id get a null class.  Rows that
-    share an id share its class.  Ties don't arise, as classes are connected components.  No rows give no rows.
+    Ids are whole numbers, or strings of digits.  Null and empty texts, and texts without a word, are a class each.
+    Rows without an id get a null class.  Rows that share an id share its class, and link the classes of their texts.
+    Very long texts are read whole.  Ties don't arise, as classes are connected components.  Other columns are ignored.
+    No rows give no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    known = plain.filter(F.col("id").isNotNull())
-    signed = written(known.mapInArrow(_sign, "id long, hi long, lo long, worded boolean, sig binary"), "signatures")
-    worded = signed.filter("worded")
-    copies = worded.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    reps = written(copies.groupBy(F.col("rep").alias("id")).agg(F.first("sig").alias("sig")), "representatives")
-    texts = known
-
-    # First each bucket's members meet its least id.
-    by_key = Window.partitionBy("key").orderBy("id")
-    first = _bands(reps, None).select("id", F.first("id").over(by_key).alias("pivot")).filter("id <> pivot")
-    tested = written(first.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = written(_links(tested, texts), "links")
-    labels = components(links)
-    rows = _bands(reps, labels)
-    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
-    # A bucket of two was settled by the pivot.
-    open_keys = written(mixed.filter("l <> h AND n > 2").select("key"), "open")
-    if not open_keys.isEmpty():
-        found_in = written(rows.join(open_keys, "key").select("key", "id"), "placed")
-        # The rounds read these texts only, not the whole table again.
-        own = written(texts.join(found_in.select("id").distinct(), "id", "left_semi"), "texts")
-        facts, shingle_rows = _shareable(own)
-        placed = written(found_in.join(facts, "id"), "placed")
-        discard(found_in, shingle_rows)
-        pivots, done = 1, 0
-        in_key = Window.partitionBy("key")
-        central = in_key.orderBy(F.col("size") - F.col("core"), "id")
-        while True:
-            now = placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            now = now.withColumns({"l": F.min("label").over(in_key), "h": F.max("label").over(in_key), "n": F.count("*").over(in_key)})
-            now = now.withColumn("rank", F.row_number().over(central))
-            now = written(now.filter((F.col("l") != F.col("h")) & (F.col("n") > done + 1)).drop("l", "h", "n"), "ranked")
-            if now.isEmpty():
-                break
-            heads = now.filter((F.col("rank") <= pivots) & (F.col("rank") > done))
-            heads = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns))
-            both, total = F.least("core", "a_core"), F.col("size") + F.col("a_size")
-            apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"a_s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("a_s0"))))
-            reach = (both >= SIMILARITY * (total - both) - 1e-6) & (total - apart >= SIMILARITY * (total + apart) - 1e-6)
-            other = (F.col("rank") > F.col("a_rank")) & (F.col("label") != F.col("a_label"))
-            pairs = now.join(heads, (F.col("key") == F.col("a_key")) & other & reach)
-            pairs = pairs.select(F.col("a_id").alias("a"), F.col("id").alias("b")).distinct()
-            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            discard(now)
-            found = written(_links(pairs, own), "links")
-            tested, links = tested.union(pairs), links.union(found)
-            if not found.isEmpty():
-                labels = components(links)
-            pivots, done = 8 * pivots, pivots
-
-    class_of = worded.join(copies.select("hi", "lo", F.col("rep")), ["hi", "lo"]).select("id", "rep")
-    named = labels.select(F.col("id").alias("rep"), "label")
-    class_of = class_of.join(named, "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
-    class_of = class_of.groupBy("id").agg(F.min("label").alias("label"))
-    out = plain.select("id").join(class_of, "id", "left").withColumn("class_id", F.coalesce("label", "id"))
-    return out.select(F.col("id").alias(id_column), "class_id")
+    signed = written(plain.mapInArrow(_sign, "id long, hi long, lo long, size long, keys array<long>, sketch array<long>"), "signed")
+    known = signed.filter("id IS NOT NULL")
+    # Ids of several rows; mostly there are none.
+    repeated = known.groupBy("id").agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("hi", "lo") for k, f in (("min", F.min), ("max", F.max))))
+    repeated = written(repeated.filter("n > 1").select("id", (F.col("min_hi") != F.col("max_hi")) | (F.col("min_lo") != F.col("max_lo"))).toDF("id", "differ"), "repeated")
+    repeats = not repeated.isEmpty()
+    copies = known.filter("size > 0").groupBy("hi", "lo").agg(
+        F.min("id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "keys", "sketch"))
+    )
+    nodes = written(copies.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    search = Search(nodes, plain.filter("id IS NOT NULL"), repeats)
+
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = written(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = written(Spread(buckets, ["key"], nodes.count() * BANDS).join(bands, buckets), "members")
+    pairs = written(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    near = written(search.ruled(pairs), "pairs")
+    discard(pairs, buckets)
+    if search.test(near):
+        labels = search.labels()
+    else:
+        labels = written(docs.sparkSession.createDataFrame([], "id long, label long, moved boolean"), "labels")
+    labels = _settle(search, members, labels)
+    discard(members)
+    if repeats:
+        shared = written(known.filter("size > 0").select("id", "hi", "lo").join(repeated.filter("differ").select("id"), "id").distinct(), "shared")
+        placed = written(Spread(shared, ["hi", "lo"]).join(shared, nodes.select("hi", "lo", "node")).select("id", "node"), "placed")
+        star = Spread(placed, ["id"]).join(placed, placed.groupBy("id").agg(F.min("node").alias("a")))
+        edges = written(star.filter("node <> a").select("a", F.col("node").alias("b")), "links")
+        if not edges.isEmpty():
+            search.links.append(edges)
+            discard(labels)
+            labels = search.labels()
+        discard(shared, placed)
+    classes = _classes(nodes, labels)
+    discard(*search.tested, *search.links)
+    rows = signed.select("id", "hi", "lo", (F.col("size") > 0).alias("worded"))
+    named = F.when(F.col("worded") & F.col("id").isNotNull(), F.coalesce("class_id", "id")).otherwise(F.col("id"))
+    out = Spread(rows, ["hi", "lo"]).join(rows, classes, "left").select("id", named.alias("class_id"))
+    if repeats:
+        # An id may have rows with and without words.
+        out = written(out, "placed")
+        of_id = out.join(repeated.select("id"), "id").groupBy("id").agg(F.min("class_id").alias("least"))
+        out = Spread(out, ["id"]).join(out, of_id, "left").select("id", F.coalesce("least", "class_id").alias("class_id"))
+    return out.toDF(id_column, "class_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents with the least id of each class, with all their columns; rows without an id stay."""
-    classes = near_duplicates(docs, id_column, text_column).filter(F.col(id_column) != F.col("class_id"))
-    gone = classes.select(F.col(id_column).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column].cast("long") == F.col("__gone"), "left_anti")
+    """One document of each class, with all its columns: that with the least id; rows without an id stay.
+
+    Of several rows that share the least id, one with the least text stays.  Other odd rows are as in
+    ``near_duplicates``.
+    """
+    classes = written(near_duplicates(docs, id_column, text_column), "classes")
+    gone, again = free_name(docs.columns, "gone"), free_name(docs.columns, "again")
+    lost = classes.filter(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias(gone)).distinct()
+    kept = docs.join(lost, docs[id_column].cast("long") == F.col(gone), "left_anti")
+    several = classes.filter(F.col(id_column) == F.col("class_id")).groupBy(F.col(id_column).alias(again)).count().filter("count > 1").select(again)
+    if several.isEmpty():
+        return kept
+    own = kept[id_column].cast("long")
+    rest = kept.join(several, own == F.col(again), "left_anti")
+    row, key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(F.col(text_column), F.lit(""))
+    few = kept.join(several, own == F.col(again), "left_semi").groupBy(own.alias(again)).agg(F.min_by(row, key).alias("row"))
+    return rest.union(few.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
