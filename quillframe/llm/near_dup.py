@@ -387,8 +387,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each class, with all its columns: that with the least id; rows without an id stay.
 
-    Of several rows that share the least id, one with the least text stays.  Other odd rows are as in
-    ``near_duplicates``.
+    Of several rows that share the least id, one of each text stays (that with the least hash of all columns), as only
+    the id ties them.  Other odd rows are as in ``near_duplicates``.
     """
     classes = written(near_duplicates(docs, id_column, text_column), "classes")
     gone, again = free_name(docs.columns, "gone"), free_name(docs.columns, "again")
@@ -399,8 +399,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         return kept
     own = kept[id_column].cast("long")
     rest = kept.join(several, own == F.col(again), "left_anti")
-    row, key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(F.col(text_column), F.lit(""))
-    few = kept.join(several, own == F.col(again), "left_semi").groupBy(own.alias(again)).agg(F.min_by(row, key).alias("row"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    few = kept.join(several, own == F.col(again), "left_semi").groupBy(own, F.coalesce(F.col(text_column), F.lit("")))
+    few = few.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
     return rest.union(few.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
