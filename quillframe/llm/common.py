@@ -41,6 +41,11 @@ def fold(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def ticket(*columns: str | Column) -> Column:
+    """A number from 0 to 1 that the values of the columns decide, with 53 random bits."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(2.0**53)
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores behind until no column of ``taken`` is called so in either case."""
     used = {t.lower() for t in taken}
@@ -66,12 +71,12 @@ class Spread:
         rows = hot.collect()  # fewer than HOT_SHARE rows, or than total / LEAST_HOT
         self.hot = counted.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
-    def join(self, many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
-        """how: inner or left."""
+    def join(self, many: DataFrame, one: DataFrame, how: str = "inner", by: list[Column] | None = None) -> DataFrame:
+        """how: inner or left; by: what the rows of a hot key are dealt by, all columns if not given."""
         if self.hot is None:
             return many.join(one, self.keys, how)
         hot, zero = F.broadcast(self.hot.withColumn("is_hot", F.lit(True))), F.lit(0).cast("long")
-        part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS).cast("long"))).otherwise(zero)
+        part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*(by or many.columns)), F.lit(SALTS).cast("long"))).otherwise(zero)
         dealt = many.join(hot, self.keys, "left").withColumn("salt", part).drop("is_hot")
         parts = F.when(F.col("is_hot"), F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(zero))
         copies = one.join(hot, self.keys, "left").withColumn("salt", F.explode(parts)).drop("is_hot")

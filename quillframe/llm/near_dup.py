@@ -9,9 +9,9 @@ is followed only until it is later than all components of its document.
 Signatures are cut into ``BANDS`` bands of ``ROWS``; at a similarity of 0.8 a pair meets in no band with odds of 3 in a
 million.  In each bucket of a band the documents are compared with a pivot, on the multisets themselves; pairs that
 reach ``SIMILARITY`` are links and classes are their connected components.  Buckets whose members aren't yet in one
-class are open.  There the documents outside the bucket's largest class become pivots, 8, 64, 512, ... of them at a
-time, for all members of other classes, until each bucket has one class or all its pairs of classes are settled: no
-bucket is capped.  Pairs are ruled out beforehand by exact bounds: the sizes of the multisets, and parity sketches (the
+class are open.  There each document outside the bucket's largest class is compared with members of other classes, about
+4, 64, 1024, ... of them, until each bucket has one class or all its pairs between classes are settled: no bucket is
+capped.  Pairs are ruled out beforehand by exact bounds: the sizes of the multisets, and parity sketches (the
 bits in which two sketches differ are no more than the shingles in which the documents do).
 
 Texts with the same words in the same order are one node from the start, whatever their ids; rows that share an id are
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import Spread, free_name, small_batches, struct, table
+from quillframe.llm.common import Spread, free_name, small_batches, struct, table, ticket
 from quillframe.sources.scratch import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -276,45 +276,60 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Goes through the open buckets; members: (key, node, pivot, n).  Returns the labels at the end."""
-    label = F.coalesce("label", "node")
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", label)
+    def placed(rows: DataFrame) -> DataFrame:
+        """A row for each node with its buckets, of which there are ``BANDS`` at most."""
+        return rows.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("buckets"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """A row for each node in each bucket, with the node's label; members of a large bucket are dealt to parts."""
+        named = rows.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keys = F.transform("buckets", lambda b: b["key"]).alias("keys")
+        named = named.select(*(c for c in named.columns if c != "buckets"), keys, F.explode("buckets").alias("b"))
+        part = F.pmod(F.xxhash64("node"), F.floor((F.col("b.n") - 1) / BLOCK) + 1)
+        return named.select(*(c for c in named.columns if c != "b"), "b.key", "b.n", part.alias("part"))
+
+    def to_parts(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
 
     def open_buckets(rows: DataFrame) -> DataFrame:
-        """(key, part, major, minor): the largest class of each open bucket and the members outside it."""
+        """(key, n, major): the open buckets and their largest classes."""
         sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
         tops = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes"), F.max("n").alias("n"))
-        tops = tops.filter("classes > 1").select("key", "n", F.col("top.label").alias("major"), (F.col("n") - F.col("top.c")).alias("minor"))
-        return tops.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).drop("n")
-
-    # A bucket of two was settled by the pivot.  Members of a large bucket are dealt to parts.
-    part = F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / BLOCK) + 1)
-    rows = members.filter("n > 2").select("key", "node", "n", (F.col("node") == F.col("pivot")).alias("done"), part.alias("part"))
-    rows = written(rows.join(open_buckets(labelled(rows)).select("key", "part"), ["key", "part"]), "open")
-    wide, turn = 8, F.pmod(F.xxhash64("node", "key"), F.lit(2**30)) / 2**30
-    while not rows.isEmpty():
-        named = labelled(rows)
-        now = named.join(open_buckets(named), ["key", "part"])
-        head = ~F.col("done") & (F.col("label") != F.col("major")) & (turn * F.col("minor") < wide)
-        now = written(now.withColumns({"head": head, "left": ~F.col("done") & (F.col("label") != F.col("major"))}), "turn")
-        discard(rows)
-        if now.filter("left").isEmpty():
-            discard(now)
-            break
-        heads = now.filter("head").select("key", "n", F.col("node").alias("a"), F.col("label").alias("a_label"))
-        heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).drop("n")
-        of_a = search.facts.select(*(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in search.facts.columns))
-        meet = now.select("key", "part", "node", "label").join(search.facts, "node").join(heads.join(of_a, "a"), ["key", "part"])
-        meet = meet.filter((F.col("label") != F.col("a_label")) & _reach())
+        return written(tops.filter("classes > 1").select("key", "n", F.col("top.label").alias("major")), "open")
+
+    # A bucket of two was settled by the pivot.
+    everything = written(placed(members.filter("n > 2")), "placed")
+    found = open_buckets(spread(everything))
+    few = spread(everything).join(to_parts(found).select("key", "part"), ["key", "part"], "left_semi")
+    # What the bounds need goes with the nodes through all rounds.
+    rows = written(placed(few).join(search.facts, "node"), "placed")
+    discard(everything)
+    done, wide = 0, 4
+    while (most := found.agg(F.max("n")).first()[0]) is not None:
+        now = spread(rows)
+        major = to_parts(found).select(F.col("key").alias("k"), F.col("part").alias("p"), "major")
+        heads = now.join(major, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("label") != F.col("major")))
+        heads = to_parts(heads.select("key", "n", *(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in ["node", "label", "keys", *search.fact_columns])))
+        turn = ticket(F.least("a", "node"), F.greatest("a", "node")) * F.col("a_n")
+        others = now.select("key", "part", "node", "label", "keys", *search.fact_columns)
+        # A pair meets in the least of its buckets only, and in one round.
+        once = (turn < wide) & (turn >= done)
+        least = F.array_min(F.array_intersect("keys", "a_keys")) == F.col("key")
+        meet = others.join(heads.withColumnRenamed("key", "k").withColumnRenamed("part", "p").withColumnRenamed("n", "a_n"), (
+            (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("label") != F.col("a_label")) & once & _reach() & least
+        ))
         pairs = meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = written(pairs.join(reduce(DataFrame.union, search.tested), ["a", "b"], "left_anti"), "pairs")
+        discard(found)
         if not pairs.isEmpty() and search.test(pairs):
             discard(labels)
             labels = search.labels()
-        rows = written(now.select("key", "node", "n", (F.col("done") | F.col("head")).alias("done"), "part"), "open")
-        discard(now)
-        wide *= 8
+        if wide >= most:
+            break
+        found = open_buckets(spread(rows))
+        done, wide = wide, 16 * wide
+    discard(rows)
     return labels
 
 
