@@ -13,13 +13,15 @@ part.  Spark's writer puts them in place, so they can be in any store and a lost
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import small_batches, table
@@ -32,6 +34,10 @@ BLOCK_IDS, PART_DOCS = 500_000, 8_000
 #: Words that a task remembers the ids of; the memory is emptied when it is full.
 CACHE_WORDS = 600_000
 _MARKER = "\x01"
+#: Latin letters, each of which is one letter when it is lower-cased (the capital I with a dot isn't), and a mark.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]")
+#: Files of blocks whose sizes are summed up in one task.
+GROUP_PARTS = 4096
 
 
 # --- Tokenizing -----------------------------------------------------------------------------------------------------
@@ -40,8 +46,10 @@ _MARKER = "\x01"
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that each word can be encoded on its own and remembered.
 
-    A word that is letters with a full stop or comma behind gives the ids of both; ASCII words are lower-cased first,
-    as the tokenizer would.  Other words, special tokens among them, go to the tokenizer as they are.
+    Words are the runs between spaces and line feeds; Arrow cuts a batch of texts and numbers its different words.  The
+    ids of known words lie in one pool, from which numpy gathers those of the batch.  A word of Latin letters with a
+    full stop or comma behind gives the ids of both (``_LATIN``).  All other words, special tokens among them, go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -50,46 +58,63 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
-        self.cache: dict[str, bytes] = {}
-        self.roots: dict[str, bytes] = {}
         marker = self.tokenizer.encode(_MARKER, add_special_tokens=False).ids
         self.marker = marker[0] if len(marker) == 1 else None
+        self._forget()
 
-    def _encode(self, words: list[str]) -> None:
-        """Puts the ids of words in ``roots``; many are encoded at once, with a marker between them."""
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pool = np.array([END_ID], self.dtype)
+        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)  # run 0 is the end of a document
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words; many are encoded at once, with a marker between them."""
+        out: dict[str, np.ndarray] = {}
         plain = [w for w in words if self.marker is not None and _MARKER not in w]
         for w in set(words) - set(plain):
-            self.roots[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+            out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype)
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         texts = [f" {_MARKER} ".join(g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
-            at = np.flatnonzero(ids == self.marker)
-            for w, part in zip(group, np.split(ids, at), strict=True):
-                self.roots[w] = part[1 if part is not None and len(part) and part[0] == self.marker else 0 :].tobytes()
-
-    @staticmethod
-    def _parts(word: str) -> list[str]:
-        if word.isascii():
-            word = word.lower()
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return [word]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, end id included, as bytes of ``dtype``."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words} - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, self.roots = {}, {}
-            new = {w for words in split for w in words}
-        parts = {w: self._parts(w) for w in new}
-        self._encode(list({p for ps in parts.values() for p in ps if p} - self.roots.keys()))
-        self.roots[""] = b""
-        for w, ps in parts.items():
-            self.cache[w] = self.roots[ps[0]] if len(ps) == 1 else self.roots[ps[0]] + self.roots[ps[1]]
-        end, cache = np.array([END_ID], self.dtype).tobytes(), self.cache
-        return [b"".join([cache[w] for w in words]) + end for words in split]
+            parts = np.split(ids, np.flatnonzero(ids == self.marker))
+            for w, part in zip(group, parts, strict=True):
+                out[w] = part[1:] if len(part) and part[0] == self.marker else part
+        return [out[w] for w in words]
+
+    def _learn(self, words: list[str]) -> None:
+        """Gives the words runs in the pool."""
+        parts = {w: (w[:-1], w[-1]) if _LATIN.fullmatch(w) else (w,) for w in words}
+        pieces = list({p for ps in parts.values() for p in ps})
+        known = dict(zip(pieces, self._encode(pieces), strict=True))
+        runs = [known[p] for ps in parts.values() for p in ps]
+        sizes = np.array([sum(len(known[p]) for p in ps) for ps in parts.values()], np.int64)
+        self.number |= {w: len(self.sizes) + i for i, w in enumerate(parts)}
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, *runs])
+
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, end id included, and for each text where its ids end)."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(text, ""), "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        names = coded.dictionary.to_pylist()
+        new = [w for w in names if w not in self.number]
+        if len(self.number) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = names
+        if new:
+            self._learn(new)
+        run = np.fromiter((self.number[w] for w in names), np.int64, len(names))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
+        words = np.ones(len(coded) + len(text), dtype=bool)
+        words[ends] = False
+        full = np.zeros(len(words), dtype=np.int64)
+        full[words] = run[coded.indices.to_numpy()] if len(names) else 0
+        sizes = self.sizes[full]
+        upto = np.cumsum(sizes)
+        at = np.repeat(self.starts[full] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+        return self.pool[at], upto[ends]
 
 
 def shared_encoder(path: str) -> WordEncoder:
@@ -103,15 +128,21 @@ def shared_encoder(path: str) -> WordEncoder:
     return kept[path]
 
 
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of data as an array of bytes."""
+    offsets = np.append(0, ends * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _tokenize(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
         names = ["doc_id", "ids", "counts"]
         total = np.zeros(2**16 if encoder.dtype == np.uint16 else encoder.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
-            ids = encoder([t or "" for t in batch.column("text").to_pylist()])
-            total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
-            columns = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+            ids, ends = encoder(batch.column("text"))
+            total += np.bincount(ids, minlength=len(total))
+            columns = [batch.column("doc_id"), _binaries(ids, ends), pa.nulls(len(ends), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         used = np.flatnonzero(total)
         packed = np.stack([used, total[used]]).astype(np.int64).tobytes()
@@ -183,10 +214,15 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """(bits, marks): the code words in a row, first bit highest, and the offset of every ``LANE``-th."""
+        bits, marks = self.encode_lanes(ids, np.arange(0, len(ids), LANE))
+        return bits, marks.astype(np.uint32).tobytes()
+
+    def encode_lanes(self, ids: np.ndarray, lanes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """As ``encode``, with the offsets of the code words at ``lanes``."""
         n = self.lengths[ids].astype(np.int64)
         ends = np.cumsum(n)
         starts = ends - n
-        marks = starts[::LANE].astype(np.uint32).tobytes()
+        marks = starts[lanes]
         words = int(ends[-1] + 31) // 32 if len(ids) else 0
         # A word's bits are disjoint, so sums of doubles are exact.
         shifted = self.codes[ids].astype(np.uint64) << (64 - n - (starts & 31)).astype(np.uint64)
@@ -225,53 +261,54 @@ class Code:
 # --- Files ----------------------------------------------------------------------------------------------------------
 
 
-def _encode(lengths, dtype):
+def lane_sizes(sizes: np.ndarray) -> np.ndarray:
+    """Ids in each lane of documents with so many ids: ``LANE``, and what is left in a document's last."""
+    n = -(-sizes // LANE)
+    out = np.full(int(n.sum()), LANE, dtype=np.int64)
+    last = np.cumsum(n)[n > 0] - 1
+    out[last] = sizes[n > 0] - (n[n > 0] - 1) * LANE
+    return out
+
+
+def _blocks(lengths, dtype):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of documents that come in order; memory holds one block."""
         code = Code(np.frombuffer(lengths.value, np.uint8))
+        part, base, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            ids, sizes = np.frombuffer(b"".join(held), dtype), np.array([len(x) for x in held], np.int64) // np.dtype(dtype).itemsize
+            lanes = lane_sizes(sizes)
+            bits, marks = code.encode_lanes(ids, np.cumsum(lanes) - lanes)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
+                    pa.array([sizes], pa.list_(pa.int64())), pa.array([marks.astype(np.uint64).tobytes()], pa.binary()),
+                    pa.array([bits], pa.binary()),
+                ],
+                ["part", "base", "docs", "sizes", "marks", "bits"],
+            )
+
         for batch in batches:
-            ids = [np.frombuffer(b, dtype) for b in batch.column("ids").to_pylist()]
-            done = [code.encode(i) for i in ids]
-            columns = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64())]
-            columns += [pa.array([d[k] for d in done], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits", "marks"])
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                docs.append(doc)
+                held.append(ids)
+                size += len(ids) // np.dtype(dtype).itemsize
+                if size >= BLOCK_IDS:
+                    yield emit()
+                    base, docs, held, size = base + size, [], [], 0
+        if held:
+            yield emit()
 
     return run
 
 
-def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents that come in order; memory holds one block."""
-    part, base, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def emit() -> pa.RecordBatch:
-        shifts = np.cumsum([0, *(len(r[2]) * 8 for r in held)])[:-1]
-        marks = b"".join((np.frombuffer(r[3], np.uint32).astype(np.uint64) + np.uint64(s)).tobytes() for r, s in zip(held, shifts, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())),
-                pa.array([[r[1] for r in held]], pa.list_(pa.int64())), pa.array([marks], pa.binary()),
-                pa.array([b"".join(r[2] for r in held)], pa.binary()),
-            ],
-            ["part", "base", "docs", "sizes", "marks", "bits"],
-        )
-
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            held.append(row)
-            size += row[1]
-            if size >= BLOCK_IDS:
-                yield emit()
-                base, held, size = base + size, [], 0
-    if held:
-        yield emit()
-
-
 def _decode(lengths):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(np.frombuffer(lengths.value, np.uint8))
         for batch in batches:
             for part, base, docs, sizes, marks, bits in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                lanes = np.concatenate([np.append(np.full(n // LANE, LANE), [n % LANE] if n % LANE else []) for n in sizes]).astype(np.int64)
-                ids = code.decode(bits, np.frombuffer(marks, np.uint64), lanes).astype("<u4")
+                ids = code.decode(bits, np.frombuffer(marks, np.uint64), lane_sizes(np.array(sizes, np.int64))).astype("<u4")
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes, strict=True)]
                 starts = base + ends - np.array(sizes)
@@ -285,8 +322,9 @@ def _decode(lengths):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> None:
     """Encodes documents (doc_id long, text) with the tokenizer file and writes the folder.
 
-    Every text is encoded whole and ends with id 1; null and empty texts are that id alone.  Rows that share an id stay
-    next to each other, rows without one come first.  No documents give an empty blocks table.
+    Every text, however long, is encoded whole and ends with id 1; null and empty texts are that id alone.  Rows that
+    share an id stay next to each other, ordered by a hash of their ids and then in any order; rows without one come
+    first.  Other columns are ignored.  No documents give an empty blocks table.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -304,11 +342,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> None:
     dtype = WordEncoder(tokenizer).dtype
     spark.createDataFrame([(bytearray(packed),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codebook")
     lengths = spark.sparkContext.broadcast(packed)
-    tokens = stored.filter("ids IS NOT NULL").select("doc_id", "ids")
-    encoded = tokens.mapInArrow(_encode(lengths, dtype), "doc_id long, n long, bits binary, marks binary")
+    tokens = stored.filter("ids IS NOT NULL").select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
     parts = max(1, int(stored.count() // PART_DOCS))
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", F.xxhash64("bits"))
-    blocks = ordered.mapInArrow(_block, "part int, base long, docs array<long>, sizes array<long>, marks binary, bits binary")
+    # Equal rows are apart by their place, so that a hot id or text doesn't fill one part.
+    ordered = tokens.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "ids")
+    blocks = ordered.mapInArrow(_blocks(lengths, dtype), "part int, base long, docs array<long>, sizes array<long>, marks binary, bits binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     _delete(spark, ids_path)
 
@@ -318,25 +356,29 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _before(sizes: DataFrame) -> DataFrame:
+    """(part, offset): the running sum of n over the parts before; sizes: part int, n long.
+
+    Parts are summed in groups, and groups in one task: one row for every ``GROUP_PARTS`` * ``PART_DOCS`` documents.
+    """
+    grouped = sizes.withColumn("group", F.floor(F.col("part") / GROUP_PARTS))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier(Window.orderBy("group")).alias("all_before"))
+    within = grouped.select("part", "group", earlier(Window.partitionBy("group").orderBy("part")).alias("own_before"))
+    return within.join(groups, "group").select("part", (F.col("all_before") + F.col("own_before")).alias("offset"))
+
+
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start counts all ids before it."""
     small_batches(spark)
     packed = spark.read.parquet(f"{folder}/codebook").first()["lengths"]
     blocks = spark.read.parquet(f"{folder}/blocks")
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
-    # One row for each file of blocks; the running sum over files.
-    offsets, before = {}, 0
-    for r in sorted(sizes.collect(), key=lambda r: r["part"]):
-        offsets[r["part"]] = before
-        before += r["n"]
     lengths = spark.sparkContext.broadcast(bytes(packed))
     rows = blocks.select("part", "base", "docs", "sizes", "marks", "bits").mapInArrow(
         _decode(lengths), "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
-    if not offsets:
-        return rows.drop("part")
-    known = spark.createDataFrame(list(offsets.items()), "part int, offset long")
-    out = rows.join(F.broadcast(known), "part")
+    out = rows.join(_before(sizes), "part")
     return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
