@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import fold, small_batches, struct, table
+from quillframe.llm.common import fold, small_batches, struct, table, ticket
 
 FEATURES = 2**16
 LONGEST = 3
@@ -31,11 +31,12 @@ SCALE = 30.0
 PIECE = 500_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether a character is a letter; fractions, superscripts and numerals of all kinds aren't."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 class Alphabet:
@@ -118,6 +119,8 @@ class Model:
             if len(points) < LONGEST:
                 continue
             for b in buckets(points):
+                # What only looks ahead is of no text.
+                b[starts[1:] - 1] = b[starts[1:] - 2] = 0
                 at = np.minimum(starts, len(b) - 1)
                 for k in range(len(self.languages)):
                     np.add.at(sums[:, k], docs, np.add.reduceat(self.weights[b, k], at))
@@ -189,8 +192,11 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """A model of docs (doc_id, text, lang), or None if they have no language or no text.  Null texts are left out."""
-    docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model of docs (doc_id, text, lang), or None if they have no language or no text.  Null texts are left out.
+
+    Each language's sample are the rows with the least hashes of id and text, whatever the order of the table.
+    """
+    docs = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = docs.groupBy("lang").count().collect()
     if not sizes:
         return None
@@ -204,8 +210,8 @@ def train(docs: DataFrame) -> Model | None:
     each = max(1, min(SAMPLE_PER_LANGUAGE, MAX_SAMPLE // len(sizes)))
     counts = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in sizes], "lang string, n long"))
     # Somewhat more than twice as many as wanted are expected to be ranked, however large a language is.
-    few = docs.withColumn("ticket", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))).join(counts, "lang")
-    few = few.filter(F.col("ticket") * F.col("n") < 1e9 * (2 * each + 40))
+    few = docs.withColumn("ticket", ticket("doc_id", "text")).join(counts, "lang")
+    few = few.filter(F.col("ticket") * F.col("n") < 2 * each + 40)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("ticket", "doc_id", "text"))
     sample = few.withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))
@@ -216,7 +222,8 @@ def identify(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     """Adds ``lang_pred`` and ``score`` (the calibrated probability of that language), replacing such columns.
 
     Null texts and texts without a letter get ``und`` and 0; so do all texts if there is no model.  Texts are read
-    whole, in pieces; equal texts get equal answers; no rows give no rows.
+    whole, in pieces; equal texts get equal answers; where languages tie, the first by name is taken; no rows give no
+    rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
