@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import fold, small_batches, struct, table
+from quillframe.llm.common import fold, small_batches, struct, table, ticket
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS = 2**16, 2**17
@@ -40,6 +40,8 @@ QUANTILE = 0.995
 CUT = 0.7
 #: Words whose inputs a task remembers; the memory is emptied when it is full.
 CACHE_WORDS = 200_000
+#: Words of a text that are scored at once, a multiple of ``STRIDE``.
+PIECE_WORDS = 100_000
 
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -310,9 +312,12 @@ class Scorer:
             self.filled += len(new[0])
 
     def _pieces(self, words: list[str]) -> Iterator[list[str]]:
-        """Very long texts in pieces that overlap by a window."""
-        for i in range(0, max(1, len(words) - WINDOW), 100_000):
-            yield words[i : i + 100_000 + WINDOW]
+        """Very long texts in pieces that have the whole text's windows between them, each in one piece."""
+        for i in range(0, len(words), PIECE_WORDS):
+            end = i + PIECE_WORDS + WINDOW - STRIDE
+            yield words[min(i, max(0, len(words) - WINDOW)) : end]
+            if end >= len(words):
+                break
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """0 to 1 for each text; 0 where there is no word."""
@@ -359,12 +364,12 @@ class Scorer:
 def sampled(labelled: DataFrame) -> DataFrame:
     """Of the rows (doc_id, toxic and others) of each label, the ``SAMPLE_TOXIC`` or ``SAMPLE_CLEAN`` with the least hashes of their ids."""
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    turn = ticket("doc_id")
 
     def least(label: int, n: int) -> DataFrame:
         # Twice as many as wanted are expected to be sorted, however large the table is.
-        few = labelled.filter((F.col("toxic") == label) & (ticket < 2 * n / max(1, sizes.get(label, 0))))
-        return few.orderBy(ticket, *labelled.columns).limit(n)
+        few = labelled.filter((F.col("toxic") == label) & (turn < (2 * n + 40) / max(1, sizes.get(label, 0))))
+        return few.orderBy(turn, *labelled.columns).limit(n)
 
     return least(1, SAMPLE_TOXIC).union(least(0, SAMPLE_CLEAN))
 
@@ -382,7 +387,8 @@ def score_toxicity(docs: DataFrame, network: Network | None, text_column: str =
     """Adds ``score`` (0 to 1) and ``predicted`` (1 if the score is ``CUT`` or more), replacing such columns.
 
     All windows of the whole text are scored.  Null and empty texts and texts without a word score 0; so do all texts
-    if there is no network.  Equal texts get equal scores up to rounding; no rows give no rows.
+    if there is no network.  Equal texts get equal scores up to rounding; a score of exactly ``CUT`` is toxic; no rows
+    give no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
