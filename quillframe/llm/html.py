@@ -13,6 +13,7 @@ import html as entities
 import math
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from quillframe.llm.common import small_batches, struct, table
 
 # --- The tree -------------------------------------------------------------------------------------------------------
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 INLINE = frozenset(
@@ -81,34 +82,89 @@ def _squeezed(parts: list[str]) -> str:
     return " ".join((entities.unescape(raw) if "&" in raw else raw).split())
 
 
+class Stack:
+    """Open elements, with the places of each tag among them, so that no question walks the whole stack."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = [0]
+        self.tags: list[str] = ["html"]
+        self.solid: list[int] = [0]  # the highest place up to here whose tag ends a search for an open paragraph
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.solid.append(self.solid[-1] if tag in _NO_P_CLOSE else at)
+        self.places.setdefault(tag, []).append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.places[self.tags.pop()].pop()
+            self.nodes.pop()
+            self.solid.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The highest place of one of the tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+class _Ahead:
+    """Searches that remember what isn't ahead, so that a page is gone through but once for each pattern."""
+
+    def __init__(self, source: str):
+        # No tag ends beyond the last bracket; patterns needn't look for its end there.
+        self.source, self.limit = source, source.rfind(">") + 1
+        self.missing: set[str] = set()
+
+    def find(self, name: str, pattern: str, at: int) -> re.Match | None:
+        if name in self.missing:
+            return None
+        m = _compiled(pattern).search(self.source, at, self.limit)
+        if m is None:
+            self.missing.add(name)
+        return m
+
+
+@lru_cache(maxsize=100)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.I)
+
+
 def parse(source: str) -> Page:
-    """The tree of block elements of a page; tag soup gives a tree as well."""
-    nodes, order, stack = [Node("html", -1)], [], [0]
+    """The tree of block elements of a page; tag soup gives a tree as well, in time linear in its length."""
+    nodes, order, stack = [Node("html", -1)], [], Stack()
     parts: list[str] = []
     links, link_from, size, at = 0, 0, 0, 0
-    in_link = False
+    in_link = has_body = False
+    ahead = _Ahead(source)
 
     def flush() -> None:
         nonlocal parts, links, size, link_from
         if in_link:
             links += size - link_from
         if parts and (text := _squeezed(parts)):
-            node = stack[-1]
+            node = stack.nodes[-1]
             nodes[node].own.append((text, min(links, len(text))))
             order.append((node, len(nodes[node].own) - 1))
         parts, links, size, link_from = [], 0, 0, 0
 
     end = len(source)
     while at < end:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at, ahead.limit) if at < ahead.limit else None
         if m is None:
-            parts.append(source[at:])
+            # An unclosed comment beyond the last tag hides the rest.
+            hidden = source.find("<!--", max(at, ahead.limit))
+            parts.append(source[at : hidden if hidden >= 0 else end])
             break
         if m.start() > at:
             parts.append(source[at : m.start()])
             size += m.start() - at
         at = m.end()
         if m[2] is None:
+            if m[0] == "<!--":
+                close = source.find("-->", at)
+                at = close + 3 if close >= 0 else end
             continue
         tag = m[2].lower()
         if m[1]:
@@ -116,17 +172,15 @@ def parse(source: str) -> Page:
                 if in_link:
                     links += size - link_from
                 in_link = False
-            elif tag not in INLINE and tag not in VOID:
-                open_at = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-                if open_at:
-                    flush()
-                    del stack[open_at:]
+            elif tag not in INLINE and tag not in VOID and (open_at := stack.last((tag,))):
+                flush()
+                stack.cut(open_at)
             continue
         if tag in OPAQUE:
             if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                close = ahead.find(tag, rf"</{tag}\b[^>]*>", at)
                 if tag == "head" and close is None:
-                    close = re.compile(r"(?=<body\b)", re.I).search(source, at)
+                    close = ahead.find("<body", r"(?=<body\b)", at)
                 at = close.end() if close else (at if tag == "head" else end)
             continue
         if tag == "a":
@@ -142,34 +196,28 @@ def parse(source: str) -> Page:
         if tag in VOID and tag != "input":
             continue
         attrs = m[3]
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in nodes)):
+        if tag == "html" or tag == "body" and has_body:
             continue
+        has_body |= tag == "body"
         if tag not in _NO_P_CLOSE:
-            for k in range(len(stack) - 1, 0, -1):
-                inside = nodes[stack[k]].tag
-                if inside == "p" or inside[0] == "h" and inside[1:].isdigit() and tag[0] == "h" and tag[1:].isdigit():
-                    del stack[k:]
-                    break
-                if inside not in _NO_P_CLOSE:
-                    break
+            k = stack.solid[-1]
+            inside = stack.tags[k]
+            if k and (inside == "p" or inside[0] == "h" and inside[1:].isdigit() and tag[0] == "h" and tag[1:].isdigit()):
+                stack.cut(k)
         if tag in _CLOSES:
             shut, stop = _CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                inside = nodes[stack[k]].tag
-                if inside in shut:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-                elif inside in stop:
+            while (k := stack.last(shut)) > stack.last(stop):
+                stack.cut(k)
+                if tag != "tr":
                     break
-        node = Node(tag, stack[-1])
+        node = Node(tag, stack.nodes[-1])
         if attrs:
             found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
             node.names = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop")).strip()
             node.hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
         nodes.append(node)
         if tag != "input":
-            stack.append(len(nodes) - 1)
+            stack.push(len(nodes) - 1, tag)
     flush()
     return Page(nodes, order)
 
