@@ -1,9 +1,11 @@
 """Operator 8: benchmark decontamination.
 
 Method.  The windows of the benchmark items, 13 words each, make a set of hashed n-grams that is broadcast.  Every
-window of every document is hashed and looked up; hits are verified on the words themselves.  The set's size is checked
-first: beyond ``MAX_BROADCAST`` windows the lookup is a shuffled join on the hash.  Only hits are shuffled otherwise.
-DataFrame functions throughout.
+window of every document is hashed and looked up; hits are verified on the words themselves.  A window's hash is built
+from hashes of runs of 1, 2, 4 and 8 words, each of two of the run before, so that a word is hashed once, and windows
+of all lengths come from one reading.  The set's size is checked first: beyond ``MAX_BROADCAST`` windows the lookup is a
+shuffled join of bare hashes, and the words of the documents that are hit are read again.  Only hits are shuffled
+otherwise.  DataFrame functions throughout.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import ascii_lower, table
+from quillframe.llm.common import ascii_lower, free_name, table
 
 WINDOW = 13
-#: Benchmark windows that are broadcast (about 64 bytes each for the hashes).
+#: Hashes of benchmark windows that are broadcast (about 64 bytes each).
 MAX_BROADCAST = 1_000_000
+#: Rows (window, item) that are broadcast with their words (about 200 bytes each).
+MAX_BROADCAST_GRAMS = 100_000
 #: A document is contaminated if at least one word in this many is hit.
 SHARE = 20
 
@@ -32,13 +36,48 @@ def _n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BREAKS_EITHER_CASE), "")).cast("long")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _window_hashes(w: Column, sizes: list[int]) -> Column:
+    """(size, at, hash) of all windows of these sizes (1 to 15) in the words w; at counts from 0."""
+    runs = [1, 2, 4, 8]
+
+    def doubled(h: Column, step: int) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+
+    def of_size(size: int, hashes: dict[int, Column]) -> Column:
+        parts, at = [], 0
+        for run in reversed(runs):
+            if size & run:
+                parts.append((run, at))
+                at += run
+        (first, _), rest = parts[0], parts[1:]
+        starts = F.slice(hashes[first], 1, F.greatest(F.size(hashes[1]) - (size - 1), F.lit(0)))
+        whole = lambda x, i: F.xxhash64(F.lit(size), x, *(F.get(hashes[run], i + at) for run, at in rest))
+        return F.transform(starts, lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("at"), whole(x, i).alias("hash")))
+
+    def build(hashes: dict[int, Column], left: list[int]) -> Column:
+        if not left:
+            every = [of_size(s, hashes) for s in sizes]
+            return F.concat(*every) if len(every) > 1 else every[0]
+        longest = max(hashes)
+        return _bound(doubled(hashes[longest], longest), lambda h: build(hashes | {left[0]: h}, left[1:]))
+
+    needed = [r for r in runs[1:] if r <= max(sizes)]
+    return _bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: build({1: h}, needed))
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(size, hash, gram, item): the windows of each item; one of fewer than 13 words, but not none, is one window."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
-    rows = w.select("item", size.alias("size"), F.explode(windows).alias("g"))
-    return rows.select("size", F.xxhash64("g").alias("hash"), F.array_join("g", " ").alias("gram"), "item").distinct()
+    rows = w.select("item", "w", size.alias("own"), F.explode(_window_hashes(F.col("w"), list(range(1, WINDOW + 1)))).alias("x"))
+    rows = rows.filter(F.col("x.size") == F.col("own"))
+    gram = F.array_join(F.slice("w", F.col("x.at") + 1, F.col("x.size")), " ")
+    return rows.select("x.size", "x.hash", gram.alias("gram"), "item").distinct()
 
 
 def _key() -> list[Column]:
@@ -47,30 +86,26 @@ def _key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(text).alias("text_hash")]
 
 
-def _window_hashes(size: int) -> Column:
-    starts = F.slice("w", 1, F.greatest(F.size("w") - (size - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.xxhash64(F.slice("w", i + 1, size)))
-
-
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, size, item) for each occurrence of a window; start counts words from 1."""
-    facts = windows.agg(F.collect_set("size").alias("sizes"), F.countDistinct("size", "hash").alias("n")).first()
+    facts = windows.agg(F.collect_set("size").alias("sizes"), F.countDistinct("size", "hash").alias("n"), F.count("*").alias("rows")).first()
+    sizes, small = sorted(facts["sizes"]) or [WINDOW], facts["n"] <= MAX_BROADCAST
     grams = windows.select("size", "hash").distinct()
-    if facts["n"] <= MAX_BROADCAST:
-        grams = F.broadcast(grams)
     spread = docs.select(*_key(), words(F.col("text")).alias("w"))
-    hits = None
-    for size in sorted(facts["sizes"]) or [WINDOW]:
-        rows = spread.withColumn("hashes", _window_hashes(size)).select("doc_id", "text_hash", "w", F.posexplode_outer("hashes").alias("at", "hash"))
-        # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
-        found = rows.join(grams.filter(F.col("size") == size), "hash")
-        found = found.select(
-            "doc_id", "text_hash", "size", "hash", (F.col("at") + 1).alias("start"),
-            F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("gram"),
-        )
-        hits = found if hits is None else hits.unionByName(found)
+    # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
+    rows = spread.select("doc_id", "text_hash", *(["w"] if small else []), F.explode_outer(_window_hashes(F.col("w"), sizes)).alias("x"))
+    rows = rows.select(*(c for c in rows.columns if c != "x"), "x.size", "x.at", "x.hash")
+    found = rows.join(F.broadcast(grams) if small else grams, ["size", "hash"])
+    if not small:
+        # The words of the documents that are hit; a document's hits are no more than its windows.
+        hit = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "at", "hash")).alias("hits"))
+        hit = hit.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "hits")
+        found = spread.dropDuplicates(["doc_id", "text_hash"]).join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+        found = found.select("doc_id", "text_hash", "w", F.explode("hits").alias("x")).select("doc_id", "text_hash", "w", "x.size", "x.at", "x.hash")
+    gram = F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ")
+    hits = found.select("doc_id", "text_hash", "size", "hash", (F.col("at") + 1).alias("start"), gram.alias("gram"))
     # Verified on the words; the few hits meet the items' windows here.
-    whole = F.broadcast(windows) if facts["n"] <= MAX_BROADCAST // 10 else windows
+    whole = F.broadcast(windows) if facts["rows"] <= MAX_BROADCAST_GRAMS else windows
     return hits.join(whole, ["size", "hash", "gram"]).select("doc_id", "text_hash", "start", "size", "item")
 
 
@@ -87,8 +122,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, items, spans, contaminated): one row for each row of docs (doc_id, text).
 
     ``spans`` are the word ranges (from 1, end exclusive) of the windows found, ``items`` the sorted ids of the items
-    that own them.  Null and empty texts have no words and no hits.  An empty benchmark hits nothing.  Rows that share
-    an id are judged apart; equal rows alike; a null id is an id like others.
+    that own them.  Null and empty texts have no words and no hits; very long ones are read whole.  An empty benchmark
+    hits nothing.  Rows that share an id are judged apart; equal rows alike; a null id is an id like others; items that
+    share an id count once.  Other columns are ignored.  No rows give no rows.
     """
     hits = find_hits(docs, benchmark_windows(items))
     found = hits.groupBy("doc_id", "text_hash").agg(
@@ -107,9 +143,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; see ``contamination`` for odd rows."""
     bad = contamination(docs.select("doc_id", "text"), items).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    d, h = free_name(docs.columns, "d"), free_name(docs.columns, "h")
+    bad = bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash == F.col(h)), "left_anti")
 
 
 def drop_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,13 +155,13 @@ def drop_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     Such a text is rebuilt from its lower-cased words, joined by spaces; other texts stay as they are.
     """
     found = contamination(docs.select("doc_id", "text"), items).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).distinct()
+    d, h, spans = (free_name(docs.columns, name) for name in ("d", "h", "spans"))
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans)).distinct()
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left")
-    kept = F.filter(
-        words(F.col("text")), lambda _, i: ~F.exists("__spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["end"]))
-    )
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
+    out = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash == F.col(h)), "left")
+    inside = lambda i: F.exists(spans, lambda s: (i + 1 >= s["start"]) & (i + 1 < s["end"]))
+    kept = F.array_join(F.filter(words(F.col("text")), lambda _, i: ~inside(i)), " ")
+    return out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
