@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import BLANKS, small_batches, struct, table
+from quillframe.llm.common import BLANKS, Spread, small_batches, struct, table
 from quillframe.sources.scratch import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -28,6 +28,8 @@ BITS_PER_LINE, MAX_BITS = 8, 2**30
 RANGE_BITS = 2**22
 #: Hashes that a task gathers before it sends a part on.
 PART_HASHES = 1_000_000
+#: Repeated keys that are broadcast (24 bytes each).
+MAX_BROADCAST = 1_000_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -136,7 +138,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     shared = spark.sparkContext.broadcast(ranges)
     found = written(docs.mapInArrow(_suspects(shared, size, min_chars), "id long, hi long, lo long"), "lines")
     counted = found.groupBy("hi", "lo").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
-    shed = found.join(counted.filter(F.col("n") >= min_docs), ["hi", "lo"]).filter("id <> keeper")
+    keys = written(counted.filter(F.col("n") >= min_docs).select("hi", "lo", "keeper"), "keys")
+    # A line that very many documents share doesn't bring its rows to one task either way.
+    both = found.join(F.broadcast(keys), ["hi", "lo"]) if keys.count() <= MAX_BROADCAST else Spread(found, ["hi", "lo"]).join(found, keys)
+    shed = both.filter("id <> keeper")
     return shed.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
 
 
@@ -170,7 +175,7 @@ def dedup_lines(
     alone.  Lines are split at ``\\n`` and the rest is joined again.  Returns the documents with the text replaced, and
     ``n_lines`` (before) and ``n_dropped``, which take the place of columns of these names.
 
-    Null or empty text: one empty line, nothing dropped, the text becomes empty.  Rows that share an id count as one
+    Ids are whole numbers, or strings of digits.  Null or empty text: one empty line, nothing dropped, the text becomes empty.  Rows that share an id count as one
     document, and keep or lose a line together.  Rows without an id count for no key and stay whole.  No rows give no
     rows.  Line ends inside very long texts are all looked at.
     """
@@ -179,7 +184,7 @@ def dedup_lines(
     drops = repeated_lines(plain, min_chars, min_docs)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     packed = docs.select(F.col(id_column).cast("long").alias("id"), F.struct(*names).alias("row"))
-    done = packed.join(drops, "id", "left").select("row", _strip(f"row.{text_column}", "drop", F.lit(min_chars)).alias("new"))
+    done = Spread(plain.select("id"), ["id"]).join(packed, drops, "left", [F.col(f"row.`{text_column}`")]).select("row", _strip(f"row.`{text_column}`", "drop", F.lit(min_chars)).alias("new"))
     columns = [F.col("new.text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in names]
     return done.select(*columns, "new.n_lines", "new.n_dropped")
 
