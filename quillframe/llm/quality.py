@@ -1,10 +1,10 @@
 """Operator 2: quality rules.
 
-Method.  The character 3-grams at both edges of every word are hashed to a fixed number of buckets.  Bucket counts of a
-trusted target and of the whole raw corpus give two smoothed multinomials; a document's score is the sum of the log ratios of
-its n-grams, divided by their number.  A document is kept if it passes the base rules and its score is at least a fixed
-threshold.  Everything runs as DataFrame functions: the model is one array of ``BUCKETS`` numbers, which reaches the
-rows as a scalar subquery.
+Method.  The words of a text and its pairs of neighbouring words (1-grams and 2-grams) are hashed to a fixed number of
+buckets.  Bucket counts of a trusted target and of the whole raw corpus give two smoothed multinomials, in which no
+document weighs more than ``FULL_GRAMS`` n-grams; a document's score is the sum of the log ratios of its n-grams, divided by their number.  A document is kept if it passes the base
+rules and its score is at least a fixed threshold.  Everything runs as DataFrame functions: the model is one array of
+``BUCKETS`` numbers, which reaches the rows as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from quillframe.llm.common import table
 
 #: Buckets of the hashed n-grams, a power of two; bounds the model (128 kB of numbers).
 BUCKETS = 16384
-#: Counts added to each bucket of both multinomials, in proportion to the raw corpus (see ``log_ratios``).
-SMOOTHING = 0.5
+#: Occurrences added to each bucket of both multinomials, on the scale of the target (see ``log_ratios``).
+SMOOTHING = 16
+#: N-grams that a document counts with in full; of a longer one each n-gram weighs less, so that the document's weight is
+#: the same.  Weights are whole numbers of 1 / ``UNIT``, so that sums don't depend on their order.
+FULL_GRAMS, UNIT = 2000, 1024
 #: Least score, in nats for each n-gram, of a document that is kept.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Trusted ids are broadcast up to this number (about 64 MB); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
@@ -75,7 +78,7 @@ def _figures(text: Column, ratios: Column, threshold: float) -> Column:
             n_symbols.cast("long").alias("n_symbols"),
             dup_lines.cast("long").alias("n_dup_lines"),
             _bound(_windows(w), _repeated_words).alias("n_repeat_words"),
-            F.when(F.size(w) > 0, total / (2 * F.size(w))).otherwise(0.0).alias("llr"),
+            F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(0.0).alias("llr"),
         )
 
     def judged(f: Column) -> Column:
@@ -87,38 +90,36 @@ def _figures(text: Column, ratios: Column, threshold: float) -> Column:
 
 
 def buckets(w: Column) -> Column:
-    """Bucket numbers of the leading and of the trailing character 3-gram of every word.
-
-    Whole words are too rare to be judged by: in a small corpus a few copies of one clean document would make its words
-    look untrusted.  The 3-grams at a word's edges are shared by all documents of a language, and hold what sets junk
-    apart (marks tied to words, separators between them).
-    """
+    """Bucket numbers of every word and of every pair of neighbours."""
     mask = F.lit(BUCKETS - 1)
-    head = F.transform(w, lambda x: F.xxhash64(F.substring(x, 1, 3)).bitwiseAND(mask).cast("int"))
-    tail = F.transform(w, lambda x: F.xxhash64(F.substring(x, -3, 3), F.lit(1)).bitwiseAND(mask).cast("int"))
-    return F.concat(head, tail)
+    of = lambda *x: F.xxhash64(*x).bitwiseAND(mask).cast("int")
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: of(x, F.get(w, i + 1)))
+    return F.concat(F.transform(w, lambda x: of(x)), pairs)
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, target) over every document; docs: text, trusted boolean."""
+    """(bucket, raw, target) in units over every document; docs: text, trusted boolean."""
     w = docs.select("trusted", words(F.col("text")).alias("w"))
+    grams = F.greatest(F.lit(1), 2 * F.size("w") - 1)
+    weight = F.greatest(F.lit(1), F.least(F.lit(UNIT), F.floor(F.lit(UNIT * FULL_GRAMS) / grams))).cast("long")
     # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
-    rows = w.select("trusted", F.explode_outer(buckets(F.col("w"))).alias("bucket")).filter("bucket IS NOT NULL")
-    return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("long")).alias("target"))
+    rows = w.select("trusted", weight.alias("weight"), F.explode_outer(buckets(F.col("w"))).alias("bucket")).filter("bucket IS NOT NULL")
+    own = F.when(F.col("trusted"), F.col("weight")).otherwise(F.lit(0))
+    return rows.groupBy("bucket").agg(F.sum("weight").alias("raw"), F.sum(own).alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
     """One row: the array of log(target share / raw share) by bucket, and 0 for all where nothing is trusted.
 
-    The target is smoothed toward the raw corpus: each bucket gets ``SMOOTHING`` pseudo counts for the target, shared
-    as in the raw corpus, on average; a bucket that no document has scores 0.
+    Raw counts are scaled to the target's total, so that they say how often the target should have a bucket.  Both get
+    ``SMOOTHING`` more: rare buckets, which are most of a small corpus, tell little and weigh little, while what is common
+    in the corpus and missing in the target weighs in full.  A bucket that no document has scores 0.
     """
     listed = counts.agg(
         F.collect_list(F.struct("bucket", "raw", "target")).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t")
     )
-    pseudo = SMOOTHING * BUCKETS
-    share = F.col("r").cast("double")
-    ratio = lambda x: F.log((x["target"] + pseudo * x["raw"] / share) / (F.col("t") + pseudo)) - F.log(x["raw"] / share)
+    expected = lambda x: x["raw"] * (F.col("t") / F.col("r").cast("double"))
+    ratio = lambda x: F.log((x["target"] + SMOOTHING * UNIT) / (expected(x) + SMOOTHING * UNIT))
     ordered = F.sort_array(
         F.concat(
             F.transform("c", lambda x: F.struct(x["bucket"].alias("b"), F.when(F.col("t") > 0, ratio(x)).otherwise(0.0).alias("v"))),
@@ -145,7 +146,8 @@ def score_quality(docs: DataFrame, corpus: DataFrame, trusted_ids: DataFrame, th
     these names are replaced.
 
     Null and empty texts have no words: they fail the base rules and score 0.  Where no id is trusted every score is 0,
-    so the base rules alone decide.  Repeated rows and ids are scored row by row; no rows give no rows.
+    so the base rules alone decide; a score of exactly the threshold is kept.  Very long texts are read whole, n-grams
+    of all texts count.  Repeated rows and ids are scored row by row; no rows give no rows.
     """
     marked = _mark_trusted(corpus.select("doc_id", "text"), trusted_ids)
     ratios = log_ratios(bucket_counts(marked)).scalar()
