@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, near dedup, decontamination and packing, in this order.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's documents.  All but the last return the columns of documents.
+Parquet and read again as the next stage's documents.  All but the last return the columns of documents, whatever these
+are besides doc_id, text and source; names that the operators use are free for them.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -10,32 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.llm import decontaminate, line_dedup, near_dup, packing, quality
 from quillframe.llm.common import table
-from quillframe.sources.scratch import written
+from quillframe.sources.scratch import discard, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; counts are of the stage's own input."""
+    """Documents that pass the quality rules; counts are of the stage's own input.
+
+    Null, empty and short texts fail.  Rows are judged one by one, so repeated ones go or stay together; a score that
+    ties with the threshold stays; very long texts are read whole.
+    """
     kept = quality.score_quality(docs, docs, quality.trusted_labels(spark, sf_dir)).filter("kept")
     return kept.select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share; every document stays."""
+    """Texts without the lines that many documents share; every document stays.
+
+    Null texts become empty.  Rows without an id lose nothing; rows that share an id lose the same lines.
+    """
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates."""
+    """The document with the least id of each class of near duplicates.
+
+    Null and empty texts and rows without an id stay; of repeated rows one stays.
+    """
     return near_dup.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
+    """Documents that aren't contaminated by the benchmark.
+
+    Null and empty texts stay, and all documents if the benchmark is empty; repeated rows go or stay together.
+    """
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins' pieces: doc_id, piece, start, n_tokens, shard, bin, offset."""
+    """The bins' pieces: doc_id, piece, start, n_tokens, shard, bin, offset.
+
+    Null and empty texts are one token, very long ones are cut into pieces; repeated rows are packed apart.
+    """
     return packing.pack_documents(docs)
 
 
@@ -52,8 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents."""
+    """Applies all stages to documents; a stage's table goes when the next one has been written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        done = written(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
