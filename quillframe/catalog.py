@@ -64,6 +64,9 @@ for _name, _expr, _sql in (
     ("or", (col("l_quantity") > 48) | (col("l_discount") < 0.01), "l_quantity > 48 OR l_discount < 0.01"),
     ("not", ~(col("l_quantity") > 10), "NOT l_quantity > 10"),
     ("promoted", col("l_linenumber") > 2.5, "l_linenumber > 2.5"),
+    ("eq_columns", col("l_returnflag") == col("l_linestatus"), "l_returnflag = l_linestatus"),
+    ("aliased", (col("l_quantity") > 45).alias("much"), "l_quantity > 45"),
+    ("folded", col("l_quantity") > lit(5) * 9, "l_quantity > 45"),
     ("empty", col("l_quantity") > 1e9, "false"),
     ("all", col("l_quantity") > -1, "true"),
 ):
@@ -88,6 +91,9 @@ for _name, _table, _expr, _sql in (
     ("compare", "lineitem", col("l_quantity") >= 25, "l_quantity >= 25"),
     ("literal_int", "nation", lit(7), "CAST(7 AS INTEGER)"),
     ("literal_str", "nation", lit("x"), "'x'"),
+    ("literal_bool", "nation", lit(True), "true"),
+    ("literal_double", "nation", lit(0.5), "CAST(0.5 AS DOUBLE)"),
+    ("alias", "nation", (col("n_regionkey") + 1).alias("next"), "n_regionkey + 1"),
 ):
     one(f"wc_{_name}", _table, lambda f, e=_expr: f.with_column("value", e), f"SELECT *, {_sql} AS value FROM {_table}")
 one("wc_replace", "part", lambda f: f.with_column("p_size", col("p_size") * 2), "SELECT * REPLACE (p_size * 2 AS p_size) FROM part")
@@ -195,6 +201,15 @@ one(
     "SELECT * FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders) * 1.5",
 )
 
+# Of no rows: null, and 0 for a count.
+for _func, _sql in (("sum", "CAST(NULL AS DOUBLE)"), ("mean", "CAST(NULL AS DOUBLE)"), ("count", "CAST(0 AS BIGINT)"), ("min", "CAST(NULL AS DOUBLE)"), ("max", "CAST(NULL AS DOUBLE)")):
+
+    @add(f"scalar_{_func}_no_rows", f"SELECT n_name, {_sql} AS value FROM nation")
+    def _scalar_none(t, func=_func):
+        none = t("nation").with_column("d", lit(0.5)).filter(col("n_nationkey") < 0)
+        value = getattr(col("d"), func)().evaluate(none)
+        return none.derive(t("nation").df.select("n_name", value.alias("value")), "with the aggregate")
+
 
 # Joins.
 def _customers(t) -> qf.Frame:
@@ -260,6 +275,20 @@ def _join_chain(t):
     return big.join(_customers(t), ["o_custkey"]).join(nations, ["c_nationkey"]).select(["o_orderkey", "c_name", "n_name"])
 
 
+@add(
+    "join_outer_multi_key",
+    "SELECT o_custkey, o_orderstatus, o_totalprice_max, o_totalprice_min FROM"
+    " (SELECT o_custkey, o_orderstatus, MAX(o_totalprice) AS o_totalprice_max FROM orders WHERE o_totalprice > 150000 GROUP BY ALL) FULL JOIN"
+    " (SELECT o_custkey, o_orderstatus, MIN(o_totalprice) AS o_totalprice_min FROM orders WHERE o_totalprice < 100000 GROUP BY ALL)"
+    " USING (o_custkey, o_orderstatus)",
+)
+def _join_outer_multi(t):
+    keys = ["o_custkey", "o_orderstatus"]
+    high = t("orders").filter(col("o_totalprice") > 150000).group_by(keys).aggregate([("o_totalprice", "max")])
+    low = t("orders").filter(col("o_totalprice") < 100000).group_by(keys).aggregate([("o_totalprice", "min")])
+    return high.join(low, keys, "outer")
+
+
 # Sorting and top-k.
 _O = ["o_orderkey", "o_custkey", "o_totalprice"]
 _SEL = f"SELECT {', '.join(_O)} FROM orders"
@@ -271,8 +300,8 @@ one(
     "top_n_multi", "orders", lambda f: f.select(_O).sort(["o_custkey", "o_orderkey"], False).head(40),
     f"{_SEL} ORDER BY 2 DESC, 1 DESC LIMIT 40",
 )
-add("sort_nulls_last", f"SELECT * FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, doc_id DESC LIMIT 300")(
-    lambda t: _labelled(t).sort(["quality", "doc_id"], False).head(300)
+add("sort_nulls_last", f"SELECT * FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, doc_id DESC")(
+    lambda t: _labelled(t).sort(["quality", "doc_id"], False)
 )
 
 # Chains.
@@ -338,3 +367,112 @@ def _from_columns(t):
 
     spark = t("region").df.sparkSession
     return qf.from_columns([("id", pa.array([1, 2, 3])), ("name", pa.array(["a", "b", None])), ("value", pa.array([0.5, None, 2.5]))], spark)
+
+
+def _session(t) -> SparkSession:
+    return t("region").df.sparkSession
+
+
+def _single(t, **values) -> qf.Frame:
+    return qf.from_columns([(name, [value]) for name, value in values.items()], _session(t))
+
+
+@add("read_csv_columns", "SELECT s_name, s_suppkey FROM supplier")
+def _csv_columns(t):
+    frame = t("supplier")
+    frame.sink_csv(path := new_path(_session(t), "csv"))
+    return qf.read_csv(path, ["s_name", "s_suppkey"], _session(t))
+
+
+@add("scan_csv_schema", "SELECT r_regionkey, r_name FROM region")
+def _csv_schema(t):
+    frame = t("region")
+    frame.sink_csv(path := new_path(_session(t), "csv"))
+    return qf.scan_csv(path, spark=_session(t), schema=frame.df.schema)
+
+
+@add("sink_csv", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size > 25")
+def _sink_csv(t):
+    frame = t("part").filter(col("p_size") > 25).select(["p_partkey", "p_name", "p_retailprice"])
+    frame.sink_csv(path := new_path(_session(t), "csv"), single_file=True)
+    return qf.read_csv(path, spark=_session(t))
+
+
+@add("write_parquet", "SELECT * FROM nation")
+def _write_parquet(t):
+    t("nation").collect().write_parquet(path := new_path(_session(t), "parquet"), single_file=True)
+    return qf.read_parquet(path, spark=_session(t))
+
+
+@add("read_parquet_direct", "SELECT * FROM supplier")
+def _read_parquet(t):
+    t("supplier").sink_parquet(path := new_path(_session(t), "parquet"))
+    return qf.read_parquet(path, spark=_session(t))
+
+
+@add("read_parquet_columns", "SELECT s_name FROM supplier")
+def _read_parquet_columns(t):
+    t("supplier").sink_parquet(path := new_path(_session(t), "parquet"))
+    return qf.read_parquet(path, ["s_name", "no such column"], _session(t))
+
+
+@add("table_size", "SELECT (SELECT COUNT(*) FROM orders) AS n_rows, CAST(6 AS BIGINT) AS n_columns, (SELECT COUNT(*) FROM nation) AS table_rows")
+def _table_size(t):
+    orders = t("orders").collect()
+    return _single(t, n_rows=orders.num_rows(), n_columns=orders.num_columns(), table_rows=t("nation").collect().get_table().num_rows)
+
+
+@add("promotion_float", "SELECT i, CAST(CAST(i AS FLOAT) + f AS FLOAT) AS added, CAST(f AS DOUBLE) * d AS times, i > f AS more FROM (VALUES (CAST(1 AS BIGINT), CAST(0.5 AS FLOAT), CAST(0.1 AS DOUBLE)), (16777217, 1.0, 3.0), (-3, -3.5, 2.0)) t(i, f, d)")
+def _promotion_float(t):
+    import pyarrow as pa
+
+    columns = [("i", pa.array([1, 16777217, -3])), ("f", pa.array([0.5, 1.0, -3.5], pa.float32())), ("d", pa.array([0.1, 3.0, 2.0]))]
+    frame = qf.from_columns(columns, _session(t)).with_column("added", col("i") + col("f")).with_column("times", col("f") * col("d"))
+    return frame.with_column("more", col("i") > col("f")).select(["i", "added", "times", "more"])
+
+
+@add("decimal_aggregates", "SELECT k, CAST(SUM(x) AS DOUBLE) AS x_sum, CAST(AVG(x) AS DOUBLE) AS x_mean, COUNT(x) AS x_count FROM (VALUES ('a', CAST(1.25 AS DECIMAL(9, 2))), ('a', 2.50), ('b', NULL), ('b', 4.00)) t(k, x) GROUP BY k")
+def _decimal_aggregates(t):
+    import decimal
+
+    columns = [("k", ["a", "a", "b", "b"]), ("x", [decimal.Decimal("1.25"), decimal.Decimal("2.50"), None, decimal.Decimal("4.00")])]
+    return qf.from_columns(columns, _session(t)).group_by(["k"]).aggregate([("x", "sum"), ("x", "mean"), ("x", "count")])
+
+
+@add("expression_text", """SELECT '((col("a") + lit(1)) > lit(2.5))' AS comparison, 'col("s").contains("x")' AS match, 'not(col("b"))' AS negated, true AS valid, false AS empty""")
+def _expression_text(t):
+    texts = {"comparison": (col("a") + 1 > 2.5).to_string(), "match": col("s").contains("x").to_string(), "negated": (~col("b")).to_string()}
+    return _single(t, **texts, valid=col("a").valid(), empty=qf.Expr().valid())
+
+
+@add("plan_text", "SELECT 'digraph plan {' AS first, CAST(3 AS BIGINT) AS steps, 'head 5' AS label")
+def _plan_text(t):
+    frame = t("nation").filter(col("n_regionkey") == 1).head(5)
+    dot = frame.explain()
+    return _single(t, first=dot.splitlines()[0], steps=dot.count("[label="), label=frame.plan().label)
+
+
+def _error(call) -> str:
+    try:
+        call()
+    except Exception as e:
+        return type(e).__name__
+    return ""
+
+
+@add(
+    "errors",
+    "SELECT 'ValueError' AS unknown_function, 'TypeError' AS string_order, 'TypeError' AS boolean_comparison, 'KeyError' AS unknown_column,"
+    " 'ValueError' AS unknown_join, 'TypeError' AS sum_of_strings",
+)
+def _errors(t):
+    nation = t("nation")
+    return _single(
+        t,
+        unknown_function=_error(lambda: nation.group_by(["n_regionkey"]).aggregate([("n_nationkey", "median")])),
+        string_order=_error(lambda: nation.filter(col("n_name") < "M")),
+        boolean_comparison=_error(lambda: nation.filter((col("n_nationkey") > 1) == lit(True))),
+        unknown_column=_error(lambda: nation.select(["nope"])),
+        unknown_join=_error(lambda: nation.join(nation, ["n_nationkey"], "cross")),
+        sum_of_strings=_error(lambda: nation.with_column("x", col("n_name").sum())),
+    )

@@ -233,8 +233,9 @@ def aggregate_column(op: str, column: Column, dtype: T.DataType) -> tuple[Column
     if not qt.is_numeric(dtype):
         raise TypeError(f"{op} requires a numeric column, not {dtype.simpleString()}")
     if op == "mean":
-        return F.avg(column), qt.DOUBLE
-    return F.sum(column), qt.LONG if qt.is_integral(dtype) else qt.DOUBLE
+        return F.avg(column).cast(qt.DOUBLE), qt.DOUBLE
+    # A decimal's sum is exact before it becomes a double.
+    return (F.sum(column), qt.LONG) if qt.is_integral(dtype) else (F.sum(column).cast(qt.DOUBLE), qt.DOUBLE)
 
 
 class Expr:

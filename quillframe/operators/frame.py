@@ -35,13 +35,15 @@ class Frame:
     def require(self, names: Sequence[str]) -> None:
         if missing := [n for n in names if n not in self.df.columns]:
             raise KeyError(f"Column not found: {', '.join(missing)}")
+        if several := [n for n in dict.fromkeys(names) if self.df.columns.count(n) > 1]:
+            raise KeyError(f"Several columns are called {', '.join(several)}")
 
     @property
     def columns(self) -> list[str]:
         return self.df.columns
 
     def select(self: Self, names: Sequence[str]) -> Self:
-        """Columns by name, in the order given; repeats are allowed."""
+        """Columns by name, in the order given; repeats are allowed, but can't be named again."""
         self.require(names)
         return self.derive(self.df.select(*map(qt.quoted, names)), f"select {', '.join(names)}")
 
@@ -101,7 +103,7 @@ class Frame:
         names = [*left, *named.values()]
         if twice := {n for n in names if names.count(n) > 1}:
             raise ValueError(f"join would repeat the names {', '.join(sorted(twice))}")
-        keys = {k: f"__key_{i}" for i, k in enumerate(on)}
+        keys = dict(zip(on, qt.free_names(names, "key", len(on)), strict=True))
         right = other.df.select(
             *(qt.quoted(k).alias(v) for k, v in keys.items()), *(qt.quoted(n).alias(v) for n, v in named.items())
         )

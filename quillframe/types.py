@@ -59,3 +59,13 @@ def literal_type(value: object) -> T.DataType:
 def quoted(name: str) -> Column:
     """The column of exactly this name; dots and backticks are plain characters."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: list[str], stem: str, n: int) -> list[str]:
+    """n names that no column of ``taken`` has in either case."""
+    used, at, out = {t.lower() for t in taken}, 0, []
+    while len(out) < n:
+        if f"{stem}_{at}" not in used:
+            out.append(f"{stem}_{at}")
+        at += 1
+    return out
