@@ -13,7 +13,6 @@ part.  Spark's writer puts them in place, so they can be in any store and a lost
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,10 +31,12 @@ MAX_BITS, LANE = 18, 128
 #: Ids in a block, about, and rows in a file of blocks, about.
 BLOCK_IDS, PART_DOCS = 500_000, 8_000
 #: Words that a task remembers the ids of; the memory is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
 _MARKER = "\x01"
-#: Latin letters, each of which is one letter when it is lower-cased (the capital I with a dot isn't), and a mark.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]")
+#: A Latin letter that is one letter when it is lower-cased (the capital I with a dot isn't), a mark, and a word's end.
+_MARKED = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])( |$)"
+#: Words that are encoded in one text, and bytes of text that are cut into words at once.
+GROUP_WORDS, CHUNK_BYTES = 500, 16 * 2**20
 #: Files of blocks whose sizes are summed up in one task.
 GROUP_PARTS = 4096
 
@@ -46,10 +47,10 @@ GROUP_PARTS = 4096
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that each word can be encoded on its own and remembered.
 
-    Words are the runs between spaces and line feeds; Arrow cuts a batch of texts and numbers its different words.  The
-    ids of known words lie in one pool, from which numpy gathers those of the batch.  A word of Latin letters with a
-    full stop or comma behind gives the ids of both (``_LATIN``).  All other words, special tokens among them, go to the
-    tokenizer as they are.
+    Words are the runs between spaces and line feeds; a full stop or comma behind a Latin letter, with a blank or the end
+    behind it, is a word of its own (``_MARKED``).  Arrow cuts a batch of texts, numbers its different words and finds the
+    known ones; numpy gathers their ids from one pool.  New words, special tokens among them, go to the tokenizer as they
+    are.
     """
 
     def __init__(self, path: str):
@@ -63,57 +64,63 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.pool = np.array([END_ID], self.dtype)
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)  # run 0 is the end of a document
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words; many are encoded at once, with a marker between them."""
-        out: dict[str, np.ndarray] = {}
-        plain = [w for w in words if self.marker is not None and _MARKER not in w]
-        for w in set(words) - set(plain):
-            out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype)
-        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        texts = [f" {_MARKER} ".join(g) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        # Run 0 is the end of a document, run i + 1 are the ids of the i-th known word.
+        self.starts, self.sizes = np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, starts, sizes) of the ids of words; many are encoded at once, with a marker between them."""
+        starts, sizes = (np.zeros(len(words), np.int32) for _ in "ab")
+        pool, size = [], 0
+        alone = [i for i, w in enumerate(words) if self.marker is None or _MARKER in w]
+        plain = np.delete(np.arange(len(words)), alone)
+        groups = [plain[i : i + GROUP_WORDS] for i in range(0, len(plain), GROUP_WORDS)]
+        texts = [f" {_MARKER} ".join([words[i] for i in g]) for g in groups]
+        groups += [np.array([i]) for i in alone]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([*texts, *(words[i] for i in alone)], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
-            parts = np.split(ids, np.flatnonzero(ids == self.marker))
-            for w, part in zip(group, parts, strict=True):
-                out[w] = part[1:] if len(part) and part[0] == self.marker else part
-        return [out[w] for w in words]
-
-    def _learn(self, words: list[str]) -> None:
+            cuts = np.flatnonzero(ids == self.marker) if len(group) > 1 else np.empty(0, np.int64)
+            begin = np.append(0, cuts + 1)
+            starts[group], sizes[group] = size + begin, np.append(cuts, len(ids)) - begin
+            pool.append(ids)
+            size += len(ids)
+        return np.concatenate([np.empty(0, self.dtype), *pool]), starts, sizes
+
+    def _learn(self, words: pa.Array) -> None:
         """Gives the words runs in the pool."""
-        parts = {w: (w[:-1], w[-1]) if _LATIN.fullmatch(w) else (w,) for w in words}
-        pieces = list({p for ps in parts.values() for p in ps})
-        known = dict(zip(pieces, self._encode(pieces), strict=True))
-        runs = [known[p] for ps in parts.values() for p in ps]
-        sizes = np.array([sum(len(known[p]) for p in ps) for ps in parts.values()], np.int64)
-        self.number |= {w: len(self.sizes) + i for i, w in enumerate(parts)}
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        pool, starts, sizes = self._encode(words.to_pylist())
+        self.known = pa.concat_arrays([self.known, words])
+        self.starts = np.concatenate([self.starts, len(self.pool) + starts]).astype(np.int32)
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, *runs])
+        self.pool = np.concatenate([self.pool, pool])
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, end id included, and for each text where its ids end)."""
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(text, ""), "\n", " "), " ")
+        marked = pc.replace_substring_regex(pc.replace_substring(pc.fill_null(text, ""), "\n", " "), _MARKED, r"\1 \2\3")
+        lists = pc.split_pattern(marked, " ")
         coded = pc.dictionary_encode(lists.flatten())
-        names = coded.dictionary.to_pylist()
-        new = [w for w in names if w not in self.number]
-        if len(self.number) + len(new) > CACHE_WORDS:
+        names = coded.dictionary
+        found = pc.index_in(names, value_set=self.known)
+        if found.null_count and len(self.known) + found.null_count > CACHE_WORDS:
             self._forget()
-            new = names
-        if new:
-            self._learn(new)
-        run = np.fromiter((self.number[w] for w in names), np.int64, len(names))
+            found = pc.index_in(names, value_set=self.known)
+        run = pc.fill_null(found, -1).to_numpy() + np.int32(1)
+        if found.null_count:
+            new = pc.is_null(found)
+            run = run.copy()
+            run[new.to_numpy(zero_copy_only=False)] = np.arange(found.null_count, dtype=np.int32) + len(self.sizes)
+            self._learn(names.filter(new))
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
         words = np.ones(len(coded) + len(text), dtype=bool)
         words[ends] = False
-        full = np.zeros(len(words), dtype=np.int64)
+        full = np.zeros(len(words), dtype=np.int32)
         full[words] = run[coded.indices.to_numpy()] if len(names) else 0
         sizes = self.sizes[full]
         upto = np.cumsum(sizes)
-        at = np.repeat(self.starts[full] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+        first = self.starts[full] - (upto - sizes).astype(np.int32)
+        at = np.repeat(first, sizes)
+        at += np.arange(len(at), dtype=np.int32)
         return self.pool[at], upto[ends]
 
 
@@ -134,12 +141,25 @@ def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``CHUNK_BYTES``: the more texts are cut at once, the fewer words are looked up again."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _tokenize(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
         names = ["doc_id", "ids", "counts"]
         total = np.zeros(2**16 if encoder.dtype == np.uint16 else encoder.tokenizer.get_vocab_size(), np.int64)
-        for batch in batches:
+        for batch in _gathered(batches):
             ids, ends = encoder(batch.column("text"))
             total += np.bincount(ids, minlength=len(total))
             columns = [batch.column("doc_id"), _binaries(ids, ends), pa.nulls(len(ends), pa.binary())]
