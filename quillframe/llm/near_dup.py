@@ -339,7 +339,9 @@ def _classes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     least = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
     far = Spread(linked, ["label"]).join(linked, least).select("hi", "lo", "class_id")
     copies = nodes.filter("n > 1").join(linked.select("node"), "node", "left_anti").select("hi", "lo", F.col("rep").alias("class_id"))
-    return written(far.union(copies), "classes")
+    classes = written(far.union(copies), "classes")
+    discard(linked)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -387,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             labels = search.labels()
         discard(shared, placed)
     classes = _classes(nodes, labels)
-    discard(*search.tested, *search.links)
+    discard(*search.tested, *search.links, labels, nodes)
     rows = signed.select("id", "hi", "lo", (F.col("size") > 0).alias("worded"))
     named = F.when(F.col("worded") & F.col("id").isNotNull(), F.coalesce("class_id", "id")).otherwise(F.col("id"))
     out = Spread(rows, ["hi", "lo"]).join(rows, classes, "left").select("id", named.alias("class_id"))

@@ -5,9 +5,11 @@ first.  Bins are ordered by what is left in them and carry two bitmaps, of the s
 that they hold.  A piece goes to the tightest bin that is compatible: the search begins at the first bin with enough
 room and steps to its successors until one has a free place for the piece's source and none of its cluster.
 
-Conflicts: a bin never holds two pieces of one duplicate cluster, and never more than ``PER_SOURCE`` pieces of one source, so that a hot source can't fill a bin alone while others remain.  Bins are
-packed in independent shards, one for every ``SHARD_PIECES`` documents; a piece's shard is a hash of its document, so every shard
-sees a like mixture, hot sources and large clusters are spread, and no task holds more than its shard.
+Conflicts: a bin never holds two pieces of one duplicate cluster, and never more than ``PER_SOURCE`` pieces of one
+source, so that a hot source can't fill a bin alone while others remain.  Bins are
+packed in independent shards, one for every ``SHARD_PIECES`` documents; a piece's shard is a hash of its document's id,
+its cluster and its number, so every shard sees a like mixture, hot sources and large clusters are spread, and no task
+holds more than its shard.
 """
 
 from __future__ import annotations
@@ -83,10 +85,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.select("id", "source", F.xxhash64("w").alias("cluster"), (F.size("w") + 1).cast("long").alias("tokens"))
 
 
-def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, clusters: DataFrame | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, sizes: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, piece, start, n_tokens, shard, bin, offset): a row for each piece of docs (doc_id, text, source).
 
-    ``clusters`` (doc_id, cluster long) names duplicate clusters; without it documents with the same words are one.
+    ``clusters`` (doc_id, cluster long), such as classes of near duplicates, names duplicate clusters; without it
+    documents with the same words are one.  ``sizes`` (doc_id, n_tokens long), such as operator 5 reads back, gives the
+    tokens of documents; without it, and for ids that it hasn't, they are the words and an end mark.
     A bin is named by shard and bin; offsets are in tokens.  A document of more than ``capacity`` tokens is cut into
     full pieces and a rest, none of which is dropped; only the rest can share a bin.
 
@@ -97,8 +103,12 @@ def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity:
     small_batches(spark)
     rows = token_counts(docs)
     if clusters is not None:
-        named = clusters.select(F.col("doc_id").alias("id"), F.col("cluster").alias("named")).dropDuplicates(["id"])
+        named = clusters.select(F.col("doc_id").cast("long").alias("id"), F.col("cluster").cast("long").alias("named"))
+        named = named.groupBy("id").agg(F.min("named").alias("named"))
         rows = rows.join(named, "id", "left").withColumn("cluster", F.coalesce("named", "cluster")).drop("named")
+    if sizes is not None:
+        known = sizes.select(F.col("doc_id").cast("long").alias("id"), F.greatest(F.lit(1), F.col("n_tokens")).cast("long").alias("known"))
+        rows = rows.join(known.groupBy("id").agg(F.max("known").alias("known")), "id", "left").withColumn("tokens", F.coalesce("known", "tokens")).drop("known")
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long"))
     pieces = rows.select("id", "source", "cluster", "tokens", F.posexplode_outer(starts).alias("piece", "start"))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("start")))

@@ -36,7 +36,7 @@ _MARKER = "\x01"
 #: A Latin letter that is one letter when it is lower-cased (the capital I with a dot isn't), a mark, and a word's end.
 _MARKED = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])( |$)"
 #: Words that are encoded in one text, and bytes of text that are cut into words at once.
-GROUP_WORDS, CHUNK_BYTES = 500, 16 * 2**20
+GROUP_WORDS, CHUNK_BYTES = 500, 8 * 2**20
 #: Files of blocks whose sizes are summed up in one task.
 GROUP_PARTS = 4096
 

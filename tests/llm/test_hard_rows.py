@@ -79,6 +79,19 @@ def test_hard_rows_results(spark, hard, bench, tmp_path):
     assert packed[packed.doc_id == 3].n_tokens.sum() == len(LONG.split()) + 1
 
 
+def test_packing_takes_classes_and_token_counts(spark, tmp_path):
+    """Near duplicates never share a bin, and sizes are the ids that operator 5 wrote."""
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"x{i % 40}"]) if i < 40 else f"unlike any other {i} " * 9, "s") for i in range(80)], "doc_id long, text string, source string")
+    classes = near_dup.near_duplicates(docs).withColumnRenamed("class_id", "cluster")
+    tokens.write_tokens(docs, str(tmp_path / "t"), tokens.default_tokenizer())
+    sizes = tokens.read_tokens(spark, str(tmp_path / "t"))
+    packed = packing.pack_documents(docs, classes, per_source=100, sizes=sizes).toPandas()
+    near = packed[packed.doc_id < 40]
+    assert len(packed) == 80 and near.groupby(["shard", "bin"]).size().max() == 1
+    assert dict(zip(packed.doc_id, packed.n_tokens, strict=True)) == {x.doc_id: x.n_tokens for x in sizes.collect()}
+
+
 def test_text_ids(spark):
     """Ids written as digits serve where ids are compared as numbers."""
     table = spark.createDataFrame([(str(i), "w " * i, "s") for i in range(9, 13)], "doc_id string, text string, source string")
