@@ -57,10 +57,15 @@ def _repeated_words(tri: Column) -> Column:
     return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0).cast("long")).otherwise(covered)
 
 
-def _windows(w: Column) -> Column:
-    """The 64-bit hash of each 3-word window; in one document a false match has odds of 1 in 10^9 at 10^5 words."""
-    starts = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
-    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+def _hashes(w: Column) -> Column:
+    """The 64-bit hash of each word; windows and n-grams are hashes of these."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _windows(h: Column) -> Column:
+    """The hash of each 3-word window; in one document a false match has odds of 1 in 10^9 at 10^5 words."""
+    starts = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
 
 def _figures(text: Column, ratios: Column, threshold: float) -> Column:
@@ -71,13 +76,16 @@ def _figures(text: Column, ratios: Column, threshold: float) -> Column:
     n_symbols = F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
 
     def of_words(w: Column) -> Column:
-        total = F.aggregate(buckets(w), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+        return _bound(_hashes(w), lambda h: of_hashes(w, h))
+
+    def of_hashes(w: Column, h: Column) -> Column:
+        total = F.aggregate(_grams(h), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             n_symbols.cast("long").alias("n_symbols"),
             dup_lines.cast("long").alias("n_dup_lines"),
-            _bound(_windows(w), _repeated_words).alias("n_repeat_words"),
+            _bound(_windows(h), _repeated_words).alias("n_repeat_words"),
             F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(0.0).alias("llr"),
         )
 
@@ -89,12 +97,15 @@ def _figures(text: Column, ratios: Column, threshold: float) -> Column:
     return _bound(_bound(words(text), of_words), judged)
 
 
+def _grams(h: Column) -> Column:
+    of = lambda x: x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    firsts = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    return F.concat(F.transform(h, of), F.transform(firsts, lambda x, i: of(F.xxhash64(x, F.get(h, i + 1)))))
+
+
 def buckets(w: Column) -> Column:
-    """Bucket numbers of every word and of every pair of neighbours."""
-    mask = F.lit(BUCKETS - 1)
-    of = lambda *x: F.xxhash64(*x).bitwiseAND(mask).cast("int")
-    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: of(x, F.get(w, i + 1)))
-    return F.concat(F.transform(w, lambda x: of(x)), pairs)
+    """Bucket numbers of every word and of every pair of neighbours; a word is hashed once."""
+    return _bound(_hashes(w), _grams)
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
@@ -102,8 +113,10 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
     w = docs.select("trusted", words(F.col("text")).alias("w"))
     grams = F.greatest(F.lit(1), 2 * F.size("w") - 1)
     weight = F.greatest(F.lit(1), F.least(F.lit(UNIT), F.floor(F.lit(UNIT * FULL_GRAMS) / grams))).cast("long")
+    # The weight is settled before, so that the n-grams' rows don't carry the words.
+    w = w.select("trusted", "w", weight.alias("weight"))
     # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
-    rows = w.select("trusted", weight.alias("weight"), F.explode_outer(buckets(F.col("w"))).alias("bucket")).filter("bucket IS NOT NULL")
+    rows = w.select("trusted", "weight", F.explode_outer(buckets(F.col("w"))).alias("bucket")).filter("bucket IS NOT NULL")
     own = F.when(F.col("trusted"), F.col("weight")).otherwise(F.lit(0))
     return rows.groupBy("bucket").agg(F.sum("weight").alias("raw"), F.sum(own).alias("target"))
 
