@@ -4,8 +4,8 @@ Method.  The windows of the benchmark items, 13 words each, make a set of hashed
 window of every document is hashed and looked up; hits are verified on the words themselves.  A window's hash is built
 from hashes of runs of 1, 2, 4 and 8 words, each of two of the run before, so that a word is hashed once, and windows
 of all lengths come from one reading.  The set's size is checked first: beyond ``MAX_BROADCAST`` windows the lookup is a
-shuffled join of bare hashes, and the words of the documents that are hit are read again.  Only hits are shuffled
-otherwise.  DataFrame functions throughout.
+shuffled join of bare hashes.  Only hits are shuffled otherwise, and the words of the documents that are hit are read
+again.  DataFrame functions throughout.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import ascii_lower, free_name, table
+from quillframe.sources.scratch import written
 
 WINDOW = 13
 #: Hashes of benchmark windows that are broadcast (about 64 bytes each).
 MAX_BROADCAST = 1_000_000
+#: Occurrences, or spans and items, of the documents that are hit that are broadcast (about 50 bytes each).
+MAX_BROADCAST_HITS = 1_000_000
 #: Rows (window, item) that are broadcast with their words (about 200 bytes each).
 MAX_BROADCAST_GRAMS = 100_000
 #: A document is contaminated if at least one word in this many is hit.
@@ -89,26 +92,34 @@ def _key() -> list[Column]:
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, size, item) for each occurrence of a window; start counts words from 1."""
     facts = windows.agg(F.collect_set("size").alias("sizes"), F.countDistinct("size", "hash").alias("n"), F.count("*").alias("rows")).first()
-    sizes, small = sorted(facts["sizes"]) or [WINDOW], facts["n"] <= MAX_BROADCAST
+    sizes = sorted(facts["sizes"]) or [WINDOW]
     grams = windows.select("size", "hash").distinct()
-    spread = docs.select(*_key(), words(F.col("text")).alias("w"))
-    # The outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
-    rows = spread.select("doc_id", "text_hash", *(["w"] if small else []), F.explode_outer(_window_hashes(F.col("w"), sizes)).alias("x"))
-    rows = rows.select(*(c for c in rows.columns if c != "x"), "x.size", "x.at", "x.hash")
-    found = rows.join(F.broadcast(grams) if small else grams, ["size", "hash"])
-    if not small:
-        # The words of the documents that are hit; a document's hits are no more than its windows.
-        hit = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "at", "hash")).alias("hits"))
-        hit = hit.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "hits")
-        found = spread.dropDuplicates(["doc_id", "text_hash"]).join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-        found = found.select("doc_id", "text_hash", "w", F.explode("hits").alias("x")).select("doc_id", "text_hash", "w", "x.size", "x.at", "x.hash")
-    gram = F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ")
-    hits = found.select("doc_id", "text_hash", "size", "hash", (F.col("at") + 1).alias("start"), gram.alias("gram"))
+    # Bare hashes only: a row that carried its document's words would cost the square of the document's length.  The
+    # outer form, as the filter that Spark infers for the inner one would be pushed below and redo the hashing.
+    rows = docs.select(*_key(), F.explode_outer(_window_hashes(words(F.col("text")), sizes)).alias("x"))
+    rows = rows.select("doc_id", "text_hash", "x.size", "x.at", "x.hash")
+    found = rows.join(F.broadcast(grams) if facts["n"] <= MAX_BROADCAST else grams, ["size", "hash"])
+    hit = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "at", "hash")).alias("hits"))
+    # The words of the documents that are hit are read again; a document's hits are no more than its windows.
+    own = _matched(docs.select(*_key(), "text"), written(hit, "hits"), F.size("hits"))
+    own = own.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "hits")
+    own = own.select("doc_id", "text_hash", "w", F.explode("hits").alias("x"))
+    gram = F.array_join(F.slice("w", F.col("x.at") + 1, F.col("x.size")), " ")
+    hits = own.select("doc_id", "text_hash", "x.size", "x.hash", (F.col("x.at") + 1).alias("start"), gram.alias("gram"))
     # Verified on the words; the few hits meet the items' windows here.
     whole = F.broadcast(windows) if facts["rows"] <= MAX_BROADCAST_GRAMS else windows
     return hits.join(whole, ["size", "hash", "gram"]).select("doc_id", "text_hash", "start", "size", "item")
 
 
+def _matched(rows: DataFrame, few: DataFrame, size: Column, how: str = "inner") -> DataFrame:
+    """rows joined with the written table ``few`` by doc_id and text_hash; it is broadcast if its entries are few enough."""
+    names = free_name(rows.columns, "d"), free_name(rows.columns, "h")
+    n = few.agg(F.sum(size + 1)).first()[0] or 0
+    few = few.withColumnsRenamed({"doc_id": names[0], "text_hash": names[1]})
+    few = F.broadcast(few) if n <= MAX_BROADCAST_HITS else few
+    return rows.join(few, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.col("text_hash") == F.col(names[1])), how).drop(*names)
+
+
 def _covered(spans: Column) -> Column:
     """Words in the union of spans, an array of (start, end) with end exclusive."""
     step = lambda acc, s: F.struct(
@@ -126,15 +137,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits nothing.  Rows that share an id are judged apart; equal rows alike; a null id is an id like others; items that
     share an id count once.  Other columns are ignored.  No rows give no rows.
     """
-    hits = find_hits(docs, benchmark_windows(items))
-    found = hits.groupBy("doc_id", "text_hash").agg(
+    found = written(_found(docs, items), "found")
+    plain = docs.select(*_key(), _n_words(F.col("text")).alias("n_words"))
+    return _judged(_matched(plain, found, F.size("spans") + F.size("items"), "left"))
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans, items) of the texts that are hit."""
+    found = find_hits(docs, benchmark_windows(items)).groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"),
         F.collect_set("item").alias("items"),
     )
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans", F.sort_array("items").alias("items"))
-    plain = docs.select(*_key(), _n_words(F.col("text")).alias("n_words"))
-    match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
-    out = plain.join(found, match, "left").drop("d", "h")
+    return found.withColumn("items", F.sort_array("items"))
+
+
+def _judged(out: DataFrame) -> DataFrame:
     out = out.withColumn("n_hit", F.coalesce(_covered(F.col("spans")), F.lit(0)))
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
@@ -142,9 +159,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; see ``contamination`` for odd rows."""
-    bad = contamination(docs.select("doc_id", "text"), items).filter("contaminated")
+    found = written(_found(docs.select("doc_id", "text"), items), "found")
+    hit = _matched(docs.select(*_key(), "text"), found, F.size("spans") + F.size("items"))
+    bad = _judged(hit.withColumn("n_words", _n_words(F.col("text"))).drop("text")).filter("contaminated")
     d, h = free_name(docs.columns, "d"), free_name(docs.columns, "h")
-    bad = bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    bad = written(bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_HITS else bad
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash == F.col(h)), "left_anti")
 

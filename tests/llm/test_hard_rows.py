@@ -228,7 +228,7 @@ def test_shuffled_decontamination(spark, hard, bench, monkeypatch):
     want = sorted(decontaminate.contamination(hard, bench).collect(), key=repr)
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_GRAMS", 0)
-    monkeypatch.setattr(quality, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_HITS", 0)
     out = decontaminate.contamination(hard, bench)
     assert sorted(out.collect(), key=repr) == want and any(x.n_hit for x in want)
 
