@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 #: Characters that separate words and pad lines: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows and bytes in an Arrow batch; texts may be long, so batches are kept small.
-BATCH_ROWS, BATCH_BYTES = 500, 8 * 2**20
+BATCH_ROWS, BATCH_BYTES = 500, 4 * 2**20
 LOW, UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key is hot if it holds more than one in ``HOT_SHARE`` rows, and ``LEAST_HOT`` at least: there are never more hot keys
 #: than ``HOT_SHARE``.  Rows of a hot key are dealt over ``SALTS`` tasks.
