@@ -40,6 +40,8 @@ QUANTILE = 0.995
 CUT = 0.7
 #: Words whose inputs a task remembers; the memory is emptied when it is full.
 CACHE_WORDS = 200_000
+#: Words whose inputs are made at once, and windows that go through the network at once (what they take fits a cache).
+CHUNK_WORDS, AT_ONCE = 5000, 512
 #: Words of a text that are scored at once, a multiple of ``STRIDE``.
 PIECE_WORDS = 100_000
 
@@ -82,8 +84,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
+
+
+def _scattered(at: np.ndarray, values: np.ndarray, source: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of those rows ``values[source]`` that go to each; ``add.at`` took several times as long."""
+    out, columns = np.empty((n, values.shape[1]), values.dtype), np.take(values, source, axis=0).astype(np.float64).T.copy()
+    for k, column in enumerate(columns):
+        out[:, k] = np.bincount(at, column, n)
+    return out
+
+
+@dataclass
+class Words:
+    """Rows of the vectors of words and of their known n-grams; the latter lie one word after another."""
+
+    row: np.ndarray
+    sizes: np.ndarray
+    grams: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, at: np.ndarray) -> Words:
+        sizes = self.sizes[at]
+        shift = self.starts[at] - (np.cumsum(sizes) - sizes)
+        return Words(self.row[at], sizes, self.grams[np.repeat(shift, sizes) + np.arange(sizes.sum())])
+
+
 @dataclass
 class Network:
+    """Inside the network arrays have windows last, so that each operation runs over long stretches."""
+
     p: dict[str, np.ndarray]
     word_row: np.ndarray  # the row of each bucket's vector; row 0 is nothing and stays 0
     char_row: np.ndarray
@@ -101,86 +134,109 @@ class Network:
         p |= {"att": f(2 * HIDDEN, ATTENTION, s=0.3), "query": f(ATTENTION, s=0.3), "out": f(2 * HIDDEN, s=0.3), "bias": np.zeros(1, np.float32)}
         return cls(p, word_row, char_row)
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """One row of inputs for each word."""
+    def words(self, words: list[str]) -> Words:
         word, starts, buckets, weights = hashed(words)
-        word, buckets = self.word_row[word], self.char_row[buckets]
-        known = (buckets > 0) & (weights > 0)
-        sizes = np.diff(np.append(starts, buckets.shape[1]))
-        share = 1 / np.sqrt(np.maximum(1, np.add.reduceat(known.sum(axis=0), starts)))
-        weights = known * np.repeat(share, sizes).astype(np.float32)
-        char = sum(np.add.reduceat(self.p["char"][b] * w[:, None], starts) for b, w in zip(buckets, weights, strict=True))
-        return np.concatenate([self.p["word"][word], char], axis=1), (word, starts, buckets, weights)
-
-    def _steps(self, gates: np.ndarray, windows: np.ndarray, way: str, keep: list | None) -> np.ndarray:
-        """Hidden states, time first.  gates: by word; windows: word numbers, one window a row."""
-        h, u = np.zeros((len(windows), HIDDEN), np.float32), self.p[f"u{way}"]
-        out = np.empty((WINDOW, len(windows), HIDDEN), np.float32)
-        for t in range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1):
-            g, hu = gates[windows[:, t]], h @ u
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+        rows = np.where(weights, self.char_row[buckets], 0).T
+        known = rows > 0
+        return Words(self.word_row[word], np.add.reduceat(known.sum(axis=1), starts), rows[known])
+
+    def inputs(self, words: list[str] | Words) -> tuple[np.ndarray, tuple]:
+        """One row of inputs for each word; and the words and the weight of each one's n-grams."""
+        words = words if isinstance(words, Words) else self.words(words)
+        some, share = words.sizes > 0, (1 / np.sqrt(np.maximum(1, words.sizes))).astype(np.float32)[:, None]
+        char = np.zeros((len(some), CHAR_DIM), self.p["char"].dtype)
+        if some.any():
+            char[some] = np.add.reduceat(np.take(self.p["char"], words.grams, axis=0), words.starts[some])
+        return np.concatenate([self.p["word"][words.row], char * share], axis=1), (words, share)
+
+    def _both(self, kind: str) -> np.ndarray:
+        return np.stack([self.p[f"{kind}{way}"] for way in "fb"])
+
+    def _steps(self, gates: np.ndarray, windows: np.ndarray, keep: dict | None) -> np.ndarray:
+        """Hidden states by time, way, unit and window, in the order in which each way goes.
+
+        gates: one word a row, by way and gate; windows: word numbers, one window a row.
+        """
+        n, u = len(windows), self._both("u").swapaxes(1, 2)
+        each = np.take(gates, windows.T, axis=0)
+        h, zero = np.empty((WINDOW, 2, HIDDEN, n), gates.dtype), np.zeros((2, HIDDEN, n), gates.dtype)
+        g = np.empty((2, 3 * HIDDEN, n), gates.dtype)
+        for t in range(WINDOW):
+            g[0], g[1] = each[t, :, : 3 * HIDDEN].T, each[WINDOW - 1 - t, :, 3 * HIDDEN :].T
+            before = h[t - 1] if t else zero
+            hu = u @ before
+            zr = _gate(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
             z, r, hn = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-            n = np.tanh(g[:, 2 * HIDDEN :] + r * hn)
+            new = np.tanh(g[:, 2 * HIDDEN :] + r * hn)
             if keep is not None:
-                keep.append((t, h, z, r, n, hn))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
+                for k, v in zip("zrna", (z, r, new, hn), strict=True):
+                    keep.setdefault(k, np.empty_like(h))[t] = v
+            h[t] = new + z * (before - new)
+        return h
 
-    def forward(self, gates: tuple[np.ndarray, np.ndarray], windows: np.ndarray, real: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def forward(self, gates: np.ndarray, windows: np.ndarray, real: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows; real says which places hold a word."""
-        kept = ([], []) if keep is not None else (None, None)
-        h = np.concatenate([self._steps(gates[i], windows, way, kept[i]) for i, way in enumerate("fb")], axis=2)
-        a = np.tanh(h @ self.p["att"])
-        e = np.where(real.T, a @ self.p["query"], -1e9)
+        steps = {} if keep is not None else None
+        own = self._steps(gates, windows, steps)
+        h = np.concatenate([own[:, 0], own[::-1, 1]], axis=1)
+        a = np.tanh(self.p["att"].T @ h)
+        e = np.where(real.T, self.p["query"] @ a, -1e9)
         e = np.exp(e - e.max(axis=0))
         e /= e.sum(axis=0)
-        pooled = np.einsum("tb,tbh->bh", e, h)
+        pooled = np.einsum("tb,thb->hb", e, h)
         if keep is not None:
-            keep |= {"steps": kept, "h": h, "a": a, "e": e, "pooled": pooled}
-        return pooled @ self.p["out"] + self.p["bias"][0]
+            keep |= {"steps": steps, "own": own, "h": h, "a": a, "e": e, "pooled": pooled}
+        return self.p["out"] @ pooled + self.p["bias"][0]
 
-    def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(x @ self.p[f"x{way}"] + self.p[f"c{way}"] for way in "fb")
+    def logits(self, gates: np.ndarray, windows: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """``forward``, some windows at a time."""
+        return np.concatenate([self.forward(gates, windows[i : i + AT_ONCE], real[i : i + AT_ONCE]) for i in range(0, len(windows), AT_ONCE)])
 
-    def gradient(self, words: list[str], windows: np.ndarray, real: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ self.p[f"x{way}"] + self.p[f"c{way}"] for way in "fb"], axis=1)
+
+    def gradient(self, words: list[str] | Words, windows: np.ndarray, real: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Mean loss of windows and its gradient by parameter; windows number into words."""
         p, keep = self.p, {}
-        x, (word, starts, buckets, shares) = self.inputs(words)
+        x, (words, share) = self.inputs(words)
         logit = self.forward(self.gates(x), windows, real, keep)
         q = _sigmoid(logit)
         loss = float(-(weight * np.where(target > 0, np.log(q + 1e-9), np.log(1 - q + 1e-9))).mean())
-        d = (weight * (q - target) / len(target)).astype(np.float32)
-        g: dict[str, np.ndarray] = {"out": keep["pooled"].T @ d, "bias": np.array([d.sum()])}
-        d_pooled, h, a, e = d[:, None] * p["out"], keep["h"], keep["a"], keep["e"]
-        d_h = e[:, :, None] * d_pooled[None]
-        d_e = np.einsum("bh,tbh->tb", d_pooled, h)
+        d = (weight * (q - target) / len(target)).astype(x.dtype)
+        h, a, e, own = keep["h"], keep["a"], keep["e"], keep["own"]
+        g: dict[str, np.ndarray] = {"out": keep["pooled"] @ d, "bias": np.array([d.sum()])}
+        d_pooled = p["out"][:, None] * d
+        d_e = np.einsum("hb,thb->tb", d_pooled, h)
         d_score = e * (d_e - (e * d_e).sum(axis=0))
-        d_a = d_score[:, :, None] * p["query"] * (1 - a * a)
-        g["query"] = np.einsum("tb,tba->a", d_score, a)
-        g["att"] = np.einsum("tbh,tba->ha", h, d_a)
-        d_h = d_h + d_a @ p["att"].T
+        d_a = d_score[:, None] * p["query"][:, None] * (1 - a * a)
+        g["query"] = np.einsum("tb,tab->a", d_score, a)
+        g["att"] = (h @ d_a.swapaxes(1, 2)).sum(axis=0)
+        d_h = e[:, None] * d_pooled + p["att"] @ d_a
+        d_own = np.stack([d_h[:, :HIDDEN], d_h[::-1, HIDDEN:]], axis=1)
+        z, r, new, hn = (keep["steps"][k] for k in "zrna")
+        before = np.concatenate([np.zeros_like(own[:1]), own[:-1]])
+        to_z, to_n, to_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), hn * r * (1 - r)
+        u, back = self._both("u"), np.zeros_like(own[0])
+        d_gates, d_hu = (np.empty((WINDOW, 2, 3 * HIDDEN, len(windows)), x.dtype) for _ in "gh")
+        for t in range(WINDOW - 1, -1, -1):
+            dh = back + d_own[t]
+            dn = dh * to_n[t]
+            d_hu[t, :, :HIDDEN], d_hu[t, :, HIDDEN : 2 * HIDDEN], d_hu[t, :, 2 * HIDDEN :] = dh * to_z[t], dn * to_r[t], dn * r[t]
+            d_gates[t, :, 2 * HIDDEN :] = dn
+            back = dh * z[t] + u @ d_hu[t]
+        d_gates[:, :, : 2 * HIDDEN] = d_hu[:, :, : 2 * HIDDEN]
+        d_u = (before @ d_hu.swapaxes(2, 3)).sum(axis=0)
+        by_place = np.stack([d_gates[:, 0], d_gates[::-1, 1]]).transpose(0, 2, 1, 3).reshape(6 * HIDDEN, -1)
+        places = windows.T.ravel()
+        by_word = np.stack([np.bincount(places, v, len(x)) for v in by_place]).astype(x.dtype)
         d_x = np.zeros_like(x)
         for i, way in enumerate("fb"):
-            u, d_u = p[f"u{way}"], np.zeros_like(p[f"u{way}"])
-            d_gates = np.zeros((len(words), 3 * HIDDEN), np.float32)
-            back = np.zeros((len(windows), HIDDEN), np.float32)
-            for t, before, z, r, n, hn in reversed(keep["steps"][i]):
-                dh = back + d_h[t, :, i * HIDDEN : (i + 1) * HIDDEN]
-                dz, dn = dh * (before - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-                dr = dn * hn * r * (1 - r)
-                d_hu = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(d_gates, windows[:, t], np.concatenate([dz, dr, dn], axis=1))
-                d_u += before.T @ d_hu
-                back = dh * z + d_hu @ u.T
-            g[f"u{way}"], g[f"x{way}"], g[f"c{way}"] = d_u, x.T @ d_gates, d_gates.sum(axis=0)
-            d_x += d_gates @ p[f"x{way}"].T
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], word, d_x[:, :WORD_DIM])
-        g["char"] = np.zeros_like(p["char"])
-        spread = np.repeat(d_x[:, WORD_DIM:], np.diff(np.append(starts, buckets.shape[1])), axis=0)
-        for b, w in zip(buckets, shares, strict=True):
-            np.add.at(g["char"], b, spread * w[:, None])
+            part = by_word[i * 3 * HIDDEN : (i + 1) * 3 * HIDDEN]
+            g[f"u{way}"], g[f"x{way}"], g[f"c{way}"] = d_u[i], (part @ x).T, part.sum(axis=1)
+            d_x += (p[f"x{way}"] @ part).T
+        each = np.arange(len(x))
+        g["word"] = _scattered(words.row, d_x[:, :WORD_DIM], each, len(p["word"]))
+        g["char"] = _scattered(words.grams, d_x[:, WORD_DIM:] * share, np.repeat(each, words.sizes), len(p["char"]))
         g["word"][0] = g["char"][0] = 0
         return loss, g
 
@@ -224,6 +280,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     windows, real, owner, target = (np.concatenate(x) for x in zip(*parts, strict=True))
     train = np.array([d % 5 > 0 for d in range(len(docs))])[owner]
     network, optimizer = Network.fresh(*_known(names, docs), seed), _Adagrad(RATE)
+    words = _joined([network.words(names[i : i + CHUNK_WORDS]) for i in range(0, len(names), CHUNK_WORDS)])  # hashed once for all steps
 
     def epoch(at: np.ndarray, weight: np.ndarray) -> None:
         at = r.permutation(at)
@@ -231,12 +288,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
         for i in range(0, len(at), size):
             b = at[i : i + size]
             used, local = np.unique(windows[b], return_inverse=True)
-            _, g = network.gradient([names[k] for k in used], local.reshape(-1, WINDOW), real[b], target[b], weight[b])
+            _, g = network.gradient(words.take(used), local.reshape(-1, WINDOW), real[b], target[b], weight[b])
             optimizer.step(network.p, g)
 
     def logits() -> np.ndarray:
-        gates = network.gates(np.concatenate([network.inputs(names[i : i + 20_000])[0] for i in range(0, len(names), 20_000)]))
-        return np.concatenate([network.forward(gates, windows[i : i + 4096], real[i : i + 4096]) for i in range(0, len(windows), 4096)])
+        parts = (words.take(np.arange(i, min(i + CHUNK_WORDS, len(names)))) for i in range(0, len(names), CHUNK_WORDS))
+        gates = np.concatenate([network.gates(network.inputs(part)[0]) for part in parts])
+        return network.logits(gates, windows, real)
 
     toxic, clean = train & (target > 0), train & (target == 0)
     balance = np.where(target > 0, 0.5 / max(1, toxic.sum()), 0.5 / max(1, clean.sum())) * train.sum()
@@ -257,17 +315,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     return network
 
 
+def _joined(parts: list[Words]) -> Words:
+    return Words(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("row", "sizes", "grams")))
+
+
 def _known(names: list[str], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the word and n-gram buckets that stand in enough training documents."""
-    word, starts, buckets, weights = hashed(names)
-    ends = np.append(starts[1:], buckets.shape[1])
+    every = Network({}, np.arange(WORD_BUCKETS), np.arange(1, CHAR_BUCKETS + 1))
+    all_words = _joined([every.words(names[i : i + CHUNK_WORDS]) for i in range(0, len(names), CHUNK_WORDS)])
     words, grams = np.zeros(WORD_BUCKETS, np.int64), np.zeros(CHAR_BUCKETS, np.int64)
-    in_word = [np.unique(buckets[:, a:b][weights[:, a:b] > 0]) for a, b in zip(starts, ends, strict=True)]
     for ids in docs:
         if len(ids):
-            own = np.unique(ids)
-            words[np.unique(word[own])] += 1
-            grams[np.unique(np.concatenate([in_word[i] for i in own]))] += 1
+            own = all_words.take(np.unique(ids))
+            for count, at in ((words, own.row), (grams, own.grams - 1)):
+                held = np.zeros(len(count), bool)
+                held[at] = True
+                count += held
     return tuple(np.where(n >= MIN_DOCS, np.cumsum(n >= MIN_DOCS), 0) for n in (words, grams))
 
 
@@ -298,18 +361,17 @@ class Scorer:
 
     def _empty(self) -> None:
         self.number: dict[str, int] = {}
-        self.gates = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in "fb"]
+        self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
         self.filled = 0
 
     def _fill(self) -> None:
         names = list(self.number)[self.filled :] if self.filled < len(self.number) else []
-        for i in range(0, len(names), 5000):
-            new = self.network.gates(self.network.inputs(names[i : i + 5000])[0])
-            while self.filled + len(new[0]) > len(self.gates[0]):
-                self.gates = [np.concatenate([g, np.zeros_like(g)]) for g in self.gates]
-            for g, n in zip(self.gates, new, strict=True):
-                g[self.filled : self.filled + len(n)] = n
-            self.filled += len(new[0])
+        for i in range(0, len(names), CHUNK_WORDS):
+            new = self.network.gates(self.network.inputs(names[i : i + CHUNK_WORDS])[0])
+            while self.filled + len(new) > len(self.gates):
+                self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+            self.gates[self.filled : self.filled + len(new)] = new
+            self.filled += len(new)
 
     def _pieces(self, words: list[str]) -> Iterator[list[str]]:
         """Very long texts in pieces that have the whole text's windows between them, each in one piece."""
@@ -329,8 +391,7 @@ class Scorer:
                 return
             self._fill()
             windows, real = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-            gates = tuple(self.gates)
-            s = np.concatenate([self.network.forward(gates, windows[i : i + 2048], real[i : i + 2048]) for i in range(0, len(windows), 2048)])
+            s = self.network.logits(self.gates, windows, real)
             at = 0
             for d, own, _ in held:
                 part = s[at : at + len(own)]

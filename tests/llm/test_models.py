@@ -85,6 +85,45 @@ def test_toxicity_learns_from_whole_texts(monkeypatch):
     assert np.allclose(toxicity.Scorer(network).scores(texts[::5]), expected, atol=1e-4)
 
 
+def test_toxicity_hashes_a_word_once_for_all_steps(monkeypatch):
+    texts, labels = toxic_texts(60, 5)
+    names = {w for t in texts for w in toxicity.word_list(t)}
+    done, hashed = [], toxicity.hashed
+    monkeypatch.setattr(toxicity, "hashed", lambda words: done.append(len(words)) or hashed(words))
+    toxicity.fit(texts, labels)
+    assert sum(done) <= 2 * len(names)
+
+
+def test_toxicity_network_by_hand():
+    """Logits of windows in a batch against one gate of one word after another; words without a known n-gram too."""
+    words = ["ab", "cde", "fgh", "x", "ab"]
+    char_row = np.arange(toxicity.CHAR_BUCKETS) % 3
+    word, starts, buckets, weights = toxicity.hashed(words)
+    a, b = starts[3], starts[4]
+    char_row[buckets[:, a:b]] = 0  # "x" has none
+    n = toxicity.Network.fresh(np.arange(toxicity.WORD_BUCKETS) % 40, char_row)
+    r, p = np.random.default_rng(4), n.p
+    windows, real = r.integers(0, 5, (3, toxicity.WINDOW)), np.ones((3, toxicity.WINDOW), bool)
+    real[1, 7:] = False
+    x = []
+    for k, end in enumerate([*starts[1:], buckets.shape[1]]):
+        rows = [char_row[v] for v, w in zip(buckets[:, starts[k] : end].ravel(), weights[:, starts[k] : end].ravel(), strict=True) if w and char_row[v]]
+        grams = sum((p["char"][v] for v in rows), np.zeros(toxicity.CHAR_DIM)) / max(1, len(rows)) ** 0.5
+        x.append(np.concatenate([p["word"][word[k] % 40], grams]))
+    size, sigmoid = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    for got, own, here in zip(n.forward(n.gates(n.inputs(words)[0]), windows, real), windows, real, strict=True):
+        states = np.zeros((toxicity.WINDOW, 2 * size))
+        for way, order, at in (("f", range(toxicity.WINDOW), 0), ("b", range(toxicity.WINDOW - 1, -1, -1), size)):
+            h = np.zeros(size)
+            for t in order:
+                g, hu = x[own[t]] @ p[f"x{way}"] + p[f"c{way}"], h @ p[f"u{way}"]
+                z, reset = sigmoid(g[:size] + hu[:size]), sigmoid(g[size : 2 * size] + hu[size : 2 * size])
+                h = z * h + (1 - z) * np.tanh(g[2 * size :] + reset * hu[2 * size :])
+                states[t, at : at + size] = h
+        e = np.where(here, np.exp(np.tanh(states @ p["att"]) @ p["query"]), 0)
+        assert abs(got - (e / e.sum() @ states @ p["out"] + p["bias"][0])) < 1e-4
+
+
 def test_toxicity_sample(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 20)
     monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 40)
