@@ -16,7 +16,9 @@ bits in which two sketches differ are no more than the shingles in which the doc
 
 Texts with the same words in the same order are one node from the start, whatever their ids; rows that share an id are
 put in one class at the end.  Only the texts of nodes in pairs are read again.  Hot buckets, pivots, classes and groups
-of copies are dealt over tasks (``Spread``, ``BLOCK``).
+of copies are dealt over tasks (``Spread``, ``BLOCK``).  Tables that are known to be small are broadcast, written by few
+tasks (``few``), and their components found on the driver (``MAX_LOCAL``); larger ones take the shuffled way to the same
+results.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ SKETCH = 12
 BLOCK = 4096
 #: Nodes whose texts are picked by a broadcast of their ids (8 bytes each); beyond it by a shuffled join.
 MAX_BROADCAST = 3_000_000
+#: Rows of a narrow table (pairs, labels, open buckets) that is broadcast to a join.
+SMALL = 200_000
+#: Links (16 bytes each) whose components are found on the driver; beyond it in rounds of joins.
+MAX_LOCAL = 1_000_000
+#: Rows that one task takes, once there are more than two tasks for each core.
+TASK_ROWS = 20_000
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
 CACHE_WORDS = 500_000
 
@@ -210,6 +218,26 @@ def _reach() -> Column:
     return (low >= SIMILARITY * high - 1e-6) & (total - apart >= SIMILARITY * (total + apart) - 1e-6)
 
 
+def few(df: DataFrame, rows: int, each: int | None = None, anew: bool = False) -> DataFrame:
+    """df, that has or comes from about so many rows, in two tasks for each core or in one for ``each`` rows if these are more.
+
+    Without it the number of shuffle partitions is also that of the tasks and files of the smallest table.  A task that
+    does several partitions of a sort-merge join keeps the sorters of all; behind such a join the rows are dealt ``anew``.
+    """
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // (each or TASK_ROWS) + 1)
+    return df.repartition(tasks) if anew else df.coalesce(tasks)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast to the join that it is put in if it has no more than ``SMALL`` rows."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def spread_by(df: DataFrame, keys: list[str], rows: int) -> Spread:
+    """``Spread`` of a written table with so many rows, its keys counted in few tasks."""
+    return Spread(few(df.groupBy(*keys).agg(F.count("*").alias("n")), rows), keys, rows)
+
+
 class Search:
     """The tables of one search.  nodes: (node, rep, n, hi, lo, size, keys, sketch), one row for each different text."""
 
@@ -219,29 +247,33 @@ class Search:
         self.facts, self.fact_columns = facts, facts.columns[1:]
         self.links: list[DataFrame] = []
         self.tested: list[DataFrame] = []
+        self.n_tested = 0
 
-    def ruled(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that the bounds don't rule out; a may be hot."""
+    def ruled(self, pairs: DataFrame, n: int) -> DataFrame:
+        """The n written pairs (a, b) that the bounds don't rule out; a may be hot."""
         of_a = self.facts.select(*(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in self.facts.columns))
-        rows = pairs.join(self.facts.withColumnRenamed("node", "b"), "b")
-        return Spread(pairs, ["a"]).join(rows, of_a).filter(_reach()).select("a", "b")
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Tests the written pairs (a, b) on the texts and keeps the links; whether there are any."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        chosen = written(self.nodes.select("node", "rep", "hi", "lo").join(wanted, "node", "left_semi"), "chosen")
-        ids = chosen.select(F.col("rep").alias("id")).distinct()
-        if ids.count() <= MAX_BROADCAST:
-            ids = F.broadcast(ids)
+        rows = small(pairs, n).join(self.facts.withColumnRenamed("node", "b"), "b")
+        rows = F.broadcast(rows).join(of_a, "a") if n <= SMALL else spread_by(pairs, ["a"], n).join(rows, of_a)
+        return few(rows.filter(_reach()).select("a", "b"), n, anew=n > SMALL)
+
+    def test(self, pairs: DataFrame, n: int) -> bool:
+        """Tests the n written pairs (a, b) on the texts and keeps the links; whether there are any."""
+        wanted = few(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n)
+        chosen = self.nodes.select("node", "rep", "hi", "lo").join(small(wanted, 2 * n), "node", "left_semi")
+        chosen = written(few(chosen, 2 * n) if 2 * n <= SMALL else chosen, "chosen")
+        count = chosen.count()
+        ids = chosen.select(F.col("rep").alias("id"))
+        ids = F.broadcast(ids) if count <= MAX_BROADCAST else ids.distinct()
         packed = self.plain.join(ids, "id", "left_semi").select("text").mapInArrow(_list_shingles, "hi long, lo long, values binary, weights binary")
-        packed = packed.join(chosen.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "values", "weights")
+        packed = packed.join(small(chosen.select("hi", "lo", "node"), count), ["hi", "lo"]).select("node", "values", "weights")
         packed = written(packed.dropDuplicates(["node"]) if self.repeats else packed, "shingles")
         of = lambda x: packed.select(F.col("node").alias(x), F.col("values").alias(f"values_{x}"), F.col("weights").alias(f"weights_{x}"))
-        rows = Spread(pairs, ["a"]).join(pairs.join(of("b"), "b"), of("a"))
+        rows = spread_by(pairs, ["a"], n).join(small(pairs, n).join(of("b"), "b"), of("a"), by=[F.col("b")])
         close = rows.select("a", "b", _close("values_a", "weights_a", "values_b", "weights_b")["close"].alias("close"))
-        found = written(close.filter("close").select("a", "b"), "links")
+        found = written(few(close.filter("close").select("a", "b"), n, anew=True), "links")
         discard(chosen, packed)
         self.tested.append(pairs)
+        self.n_tested += n
         if found.isEmpty():
             discard(found)
             return False
@@ -252,12 +284,34 @@ class Search:
         return components(reduce(DataFrame.union, self.links))
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in edges (a, b), and the least id of each one's connected component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        of_x, of_y = label[x], label[y]
+        low, new = np.minimum(of_x, of_y), label.copy()
+        for place in (x, y, of_x, of_y):
+            np.minimum.at(new, place, low)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of the connected component, for ids in edges (a, b).
 
     Labels spread along edges and then jump to their own label's label, so that chains shrink by halves; each round is
-    a written table.  Ids with very many edges and labels of very many ids are dealt over tasks.
+    a written table.  Ids with very many edges and labels of very many ids are dealt over tasks.  The same is done in
+    memory on the driver for up to ``MAX_LOCAL`` edges.
     """
+    if edges.count() <= MAX_LOCAL:
+        rows = edges.select("a", "b").toArrow()
+        ids, least = least_labels(*(rows.column(c).to_numpy() for c in ("a", "b")))
+        labels = edges.sparkSession.createDataFrame(pa.table({"id": ids, "label": least}))
+        return written(few(labels, len(ids)), "labels")
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     along = Spread(both, ["b"])
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
@@ -276,6 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Goes through the open buckets; members: (key, node, pivot, n).  Returns the labels at the end."""
+    n_members, n_labels = members.count(), labels.count()
 
     def placed(rows: DataFrame) -> DataFrame:
         """A row for each node with its buckets, of which there are ``BANDS`` at most."""
@@ -283,7 +338,8 @@ def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
 
     def spread(rows: DataFrame) -> DataFrame:
         """A row for each node in each bucket, with the node's label; members of a large bucket are dealt to parts."""
-        named = rows.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = small(labels.select(F.col("id").alias("node"), "label"), n_labels)
+        named = rows.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         keys = F.transform("buckets", lambda b: b["key"]).alias("keys")
         named = named.select(*(c for c in named.columns if c != "buckets"), keys, F.explode("buckets").alias("b"))
         part = F.pmod(F.xxhash64("node"), F.floor((F.col("b.n") - 1) / BLOCK) + 1)
@@ -292,42 +348,53 @@ def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
     def to_parts(rows: DataFrame) -> DataFrame:
         return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
 
-    def open_buckets(rows: DataFrame) -> DataFrame:
-        """(key, n, major): the open buckets and their largest classes."""
-        sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    def open_buckets(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+        """(key, n, major, c): the open buckets and their largest classes; the largest n, the number of parts, that of heads."""
+        sizes = few(rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.max("n").alias("n")), n_members)
         tops = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes"), F.max("n").alias("n"))
-        return written(tops.filter("classes > 1").select("key", "n", F.col("top.label").alias("major")), "open")
+        found = written(few(tops.filter("classes > 1").select("key", "n", F.col("top.label").alias("major"), "top.c"), n_members), "open")
+        parts = F.floor((F.col("n") - 1) / BLOCK) + 1
+        return found, *(x or 0 for x in found.agg(F.max("n"), F.sum(parts), F.sum((F.col("n") - F.col("c")) * parts)).first())
 
     # A bucket of two was settled by the pivot.
-    everything = written(placed(members.filter("n > 2")), "placed")
-    found = open_buckets(spread(everything))
-    few = spread(everything).join(to_parts(found).select("key", "part"), ["key", "part"], "left_semi")
+    everything = written(few(placed(members.filter("n > 2")), n_members), "placed")
+    found, most, parts, n_heads = open_buckets(spread(everything))
+    here = spread(everything).join(small(to_parts(found).select("key", "part"), parts), ["key", "part"], "left_semi")
     # What the bounds need goes with the nodes through all rounds.
-    rows = written(placed(few).join(search.facts, "node"), "placed")
-    discard(everything)
+    bare = written(few(placed(here), n_members), "placed")
+    n_nodes = bare.count()
+    facts = search.facts.join(F.broadcast(bare.select("node")), "node", "left_semi") if n_nodes <= SMALL else search.facts
+    rows = written(bare.join(small(facts, n_nodes), "node"), "placed")
+    discard(everything, bare)
     done, wide = 0, 4
-    while (most := found.agg(F.max("n")).first()[0]) is not None:
+    while most:
         now = spread(rows)
-        major = to_parts(found).select(F.col("key").alias("k"), F.col("part").alias("p"), "major")
+        major = small(to_parts(found).select(F.col("key").alias("k"), F.col("part").alias("p"), "major"), parts)
         heads = now.join(major, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("label") != F.col("major")))
         heads = to_parts(heads.select("key", "n", *(F.col(c).alias("a" if c == "node" else f"a_{c}") for c in ["node", "label", "keys", *search.fact_columns])))
+        heads = heads.withColumnRenamed("key", "k").withColumnRenamed("part", "p").withColumnRenamed("n", "a_n")
         turn = ticket(F.least("a", "node"), F.greatest("a", "node")) * F.col("a_n")
+        if n_heads <= SMALL // 4:
+            heads = F.broadcast(heads)
         others = now.select("key", "part", "node", "label", "keys", *search.fact_columns)
         # A pair meets in the least of its buckets only, and in one round.
         once = (turn < wide) & (turn >= done)
         least = F.array_min(F.array_intersect("keys", "a_keys")) == F.col("key")
-        meet = others.join(heads.withColumnRenamed("key", "k").withColumnRenamed("part", "p").withColumnRenamed("n", "a_n"), (
+        meet = others.join(heads, (
             (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("label") != F.col("a_label")) & once & _reach() & least
         ))
         pairs = meet.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = written(pairs.join(reduce(DataFrame.union, search.tested), ["a", "b"], "left_anti"), "pairs")
+        tested = small(reduce(DataFrame.union, search.tested), search.n_tested)
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(few(pairs, n_members, anew=search.n_tested > SMALL), "pairs")
         discard(found)
-        if not pairs.isEmpty() and search.test(pairs):
+        if (n := pairs.count()) and search.test(pairs, n):
             discard(labels)
             labels = search.labels()
+            n_labels = labels.count()
         if wide >= most:
             break
-        found = open_buckets(spread(rows))
+        found, most, parts, n_heads = open_buckets(spread(rows))
         done, wide = wide, 16 * wide
     discard(rows)
     return labels
@@ -335,11 +402,13 @@ def _settle(search: Search, members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _classes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(hi, lo, class_id) of the texts that have copies or links; the others are classes of their own."""
-    linked = written(nodes.select("node", "rep", "hi", "lo").join(labels.withColumnRenamed("id", "node"), "node").drop("moved"), "linked")
-    least = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
-    far = Spread(linked, ["label"]).join(linked, least).select("hi", "lo", "class_id")
-    copies = nodes.filter("n > 1").join(linked.select("node"), "node", "left_anti").select("hi", "lo", F.col("rep").alias("class_id"))
-    classes = written(far.union(copies), "classes")
+    n = labels.count()
+    linked = nodes.select("node", "rep", "hi", "lo").join(small(labels.withColumnRenamed("id", "node"), n), "node").drop("moved")
+    linked = written(few(linked, n) if n <= SMALL else linked, "linked")
+    least = few(linked.groupBy("label").agg(F.min("rep").alias("class_id")), n)
+    far = linked.join(F.broadcast(least), "label") if n <= SMALL else spread_by(linked, ["label"], n).join(linked, least)
+    copies = nodes.filter("n > 1").join(small(linked.select("node"), n), "node", "left_anti").select("hi", "lo", F.col("rep").alias("class_id"))
+    classes = written(far.select("hi", "lo", "class_id").union(copies), "classes")
     discard(linked)
     return classes
 
@@ -355,24 +424,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = written(plain.mapInArrow(_sign, "id long, hi long, lo long, size long, keys array<long>, sketch array<long>"), "signed")
-    known = signed.filter("id IS NOT NULL")
+    known, total = signed.filter("id IS NOT NULL"), signed.count()
     # Ids of several rows; mostly there are none.
     repeated = known.groupBy("id").agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("hi", "lo") for k, f in (("min", F.min), ("max", F.max))))
-    repeated = written(repeated.filter("n > 1").select("id", (F.col("min_hi") != F.col("max_hi")) | (F.col("min_lo") != F.col("max_lo"))).toDF("id", "differ"), "repeated")
+    repeated = written(few(repeated, total).filter("n > 1").select("id", (F.col("min_hi") != F.col("max_hi")) | (F.col("min_lo") != F.col("max_lo"))).toDF("id", "differ"), "repeated")
     repeats = not repeated.isEmpty()
     copies = known.filter("size > 0").groupBy("hi", "lo").agg(
         F.min("id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "keys", "sketch"))
     )
-    nodes = written(copies.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = written(few(copies, total).withColumn("node", F.monotonically_increasing_id()), "nodes")
     search = Search(nodes, plain.filter("id IS NOT NULL"), repeats)
 
-    bands = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = written(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = written(Spread(buckets, ["key"], nodes.count() * BANDS).join(bands, buckets), "members")
-    pairs = written(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    near = written(search.ruled(pairs), "pairs")
+    bands, n_bands = nodes.select("node", F.explode("keys").alias("key")), nodes.count() * BANDS
+    buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(few(buckets, n_bands, 5 * TASK_ROWS), "buckets")
+    n_buckets = buckets.count()
+    members = bands.join(F.broadcast(buckets), "key") if n_buckets <= SMALL else Spread(buckets, ["key"], n_bands).join(bands, buckets)
+    members = written(members, "members")
+    pairs = few(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), members.count())
+    pairs = written(pairs, "pairs")
+    near = written(search.ruled(pairs, pairs.count()), "pairs")
     discard(pairs, buckets)
-    if search.test(near):
+    if search.test(near, near.count()):
         labels = search.labels()
     else:
         labels = written(docs.sparkSession.createDataFrame([], "id long, label long, moved boolean"), "labels")
@@ -392,7 +465,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     discard(*search.tested, *search.links, labels, nodes)
     rows = signed.select("id", "hi", "lo", (F.col("size") > 0).alias("worded"))
     named = F.when(F.col("worded") & F.col("id").isNotNull(), F.coalesce("class_id", "id")).otherwise(F.col("id"))
-    out = Spread(rows, ["hi", "lo"]).join(rows, classes, "left").select("id", named.alias("class_id"))
+    if classes.count() <= SMALL:
+        out = rows.join(F.broadcast(classes), ["hi", "lo"], "left")
+    else:
+        out = spread_by(rows, ["hi", "lo"], total).join(rows, classes, "left")
+    out = out.select("id", named.alias("class_id"))
     if repeats:
         # An id may have rows with and without words.
         out = written(out, "placed")

@@ -6,6 +6,7 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quillframe.llm import near_dup
@@ -95,3 +96,45 @@ def test_names_and_empty(spark):
     kept = near_dup.keep_one(table)
     assert kept.columns == table.columns and sorted(x.doc_id or "" for x in kept.collect()) == ["", "0"]
     assert near_dup.keep_one(table.limit(0)).count() == 0
+
+
+def test_few_tasks_and_both_ways(spark, monkeypatch):
+    """Small tables aren't written in as many files as there are shuffle partitions, and both ways give the same classes."""
+    r = random.Random(7)
+    bases = [[f"w{k}_{i}" for i in range(120)] for k in range(5)]
+    rows = [(i, changed(bases[i % 5], r, r.choice([0, 1, 2, 4, 6]))) for i in range(150)] + [(150 + i, f"other {i}") for i in range(20)]
+    want, _ = by_hand(rows)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files = {}
+
+    def counted(df, label, real=near_dup.written):
+        out = real(df, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(near_dup, "written", counted)
+        assert classes(spark, rows) == want and {"links", "labels", "placed", "open", "classes"} <= set(files)
+        assert max(files.values()) <= 4 * spark.sparkContext.defaultParallelism, files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("SMALL", "MAX_LOCAL", "MAX_BROADCAST"):
+        monkeypatch.setattr(near_dup, name, -1)
+    assert classes(spark, rows) == want
+
+
+def test_components_both_ways(spark, monkeypatch):
+    r = random.Random(8)
+    chain = list(range(60))
+    r.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(100 + r.randrange(80), 100 + r.randrange(80)) for _ in range(50)]
+    table = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "a long, b long")
+    here = {x.id: x.label for x in near_dup.components(table).collect()}
+    monkeypatch.setattr(near_dup, "MAX_LOCAL", -1)
+    assert here == {x.id: x.label for x in near_dup.components(table).collect()} and {here[i] for i in chain} == {0}
+    ids, least = near_dup.least_labels(np.array([5, 7, 9, 2]), np.array([7, 9, 1, 3]))
+    assert dict(zip(ids.tolist(), least.tolist())) == {1: 1, 2: 2, 3: 2, 5: 1, 7: 1, 9: 1}
